@@ -9,12 +9,12 @@ therefore has two levels, each with the pivots that do separate there:
    all others: its nearest pivots are its own shingles, rarest first in one global order. If y has none of
    the first w of them, then d(x, y) >= w / |x|; so beyond a window of floor(r |x|) + 1 pivots no partner can
    hide, and x is copied into just these regions. Regions of one set hold no pair and go at once.
-2. *Documents as pivots inside the regions.* The smallest document of a region is a candidate pivot; a document's
-   nearest one (that shares most of its regions) is its centre if their exact distance is at most r. This links
-   groups of copies with one comparison for each member. Regions whose documents are connected by then
-   are done. In the others centres meet centres; with d(A, B) known exactly, d(x, y) >= d(A, B) - d(x, A) - d(y, B)
-   discards all members of most pairs of cells, and only the members within the window are
-   compared, exactly.
+2. *Documents as pivots inside the regions.* In each of `ROUNDS` rounds a region has one document as its pivot; a
+   document's nearest one (that of most of its regions) is compared with it exactly. Groups of copies
+   link with one comparison for each member and round, and a region whose documents are connected is
+   done. What is left after the rounds recurs into pairs of documents of different components; the
+   number of pivots that they share bounds their intersection from above, and the exact comparison
+   decides about those that the bound lets through.
 
 Components of the links come from label propagation with pointer jumping; each round is a
 table in the shared folder. The order of the pivots changes the work, never the result: shingles that are
@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, space_words, table, written
+from .common import bounded_batches, table, written
 
 K = 5
 #: A pair links if 100 * intersection >= PERCENT * union.
@@ -49,6 +49,9 @@ BLOCK_SHINGLES = 3_000_000
 #: Ids that are broadcast at most (16 bytes each); beyond it a shuffle join takes over.
 MAX_BROADCAST_IDS = 1_000_000
 
+#: Rounds with document pivots before the exact comparison of what is left.
+ROUNDS = 3
+
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -75,7 +78,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None, k: int = K) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
-    words = space_words(text.translate(_LOWER)) if isinstance(text, str) else []
+    words = text.encode("utf-8", "replace").lower().split() if isinstance(text, str) else []
     if not words:
         return np.empty(0, np.uint64)
     data = np.frombuffer(b" ".join(words), np.uint8)
@@ -88,92 +91,147 @@ def shingles(text: str | None, k: int = K) -> np.ndarray:
     return np.unique(_mixed((total[last] - total[first]) * down[first]))
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def window(n: int, percent: int = PERCENT) -> int:
     """Pivots of a set of n that a partner must share one of; 0 if only an equal set can link."""
     return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
 
 
-def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles, and their place in the order of pivots."""
+def surveyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass: (doc_id, n, set) of each document, and (shingle, n) of what is frequent in a block of texts."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         block: list[np.ndarray] = []
+        total = 0
 
-        def out() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(block), return_counts=True) if block else (np.empty(0, np.uint64), np.empty(0, int))
+        def often() -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *block]), return_counts=True)
             many = counts >= HOT_IN_BLOCK
-            return pd.DataFrame({"shingle": values[many].view(np.int64), "n": counts[many]})
+            return _rows(shingle=values[many].view(np.int64), n=counts[many])
 
         for pdf in batches:
+            sizes, digests = [], []
             for text in pdf["text"]:
-                if isinstance(text, str) and (h := hash(text)) not in seen:
-                    seen.add(h)
-                    block.append(shingles(text))
-            if sum(map(len, block)) >= BLOCK_SHINGLES:
-                yield out()
-                seen, block = set(), []
-        yield out()
-
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(counted, "shingle long, n long")
-    most = found.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).collect()
+                h = shingles(text)
+                sizes.append(len(h))
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                if len(h) and (at := hash(digests[-1])) not in seen:
+                    seen.add(at)
+                    block.append(h)
+                    total += len(h)
+            yield _rows(doc_id=pdf["doc_id"], n=sizes, set=digests)
+            if total >= BLOCK_SHINGLES:
+                yield often()
+                seen, block, total = set(), [], 0
+        yield often()
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return written(rows.mapInPandas(survey, "doc_id long, n long, set binary, shingle long"), "jaccard-survey")
+
+
+def _rows(**columns) -> pd.DataFrame:
+    """Rows of the survey; what is not given is null."""
+    size = len(next(iter(columns.values())))
+    empty = {"doc_id": "Int64", "n": "Int64", "set": object, "shingle": "Int64"}
+    return pd.DataFrame({k: pd.Series(columns.get(k, [None] * size), dtype=t) for k, t in empty.items()})
+
+
+def order_of(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles, and their places in the order of pivots."""
+    found = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = found.orderBy(F.desc("n"), "shingle").limit(HOT).collect()
     hashes = np.array([r["shingle"] for r in most], np.int64).view(np.uint64)
     place = np.arange(len(most), 0, -1)  # the most frequent one is last of all
     order = np.argsort(hashes)
     return hashes[order], place[order]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, set, pivots): size and digest of each document's set, and its window of pivots."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
+def only(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the given ids."""
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+
+
+def members_of(docs: DataFrame, survey: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, n, cold, hot): one document of each class, with its window of rare and of frequent pivots."""
+    shared = docs.sparkSession.sparkContext.broadcast(order_of(survey))
 
-    @F.pandas_udf("n long, set binary, pivots array<long>")
-    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n long, cold array<long>, hot array<long>")
+    def windowed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hot, place = shared.value
         for part in texts:
             rows = []
             for text in part:
                 h = shingles(text)
-                w = window(len(h), percent) if len(h) else 0
                 late = np.zeros(len(h), np.int64)
-                if len(hot) and w:
+                if len(hot) and len(h):
                     near = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     late = np.where(hot[near] == h, place[near], 0)
-                chosen = h[np.argsort(late, kind="stable")[:w]]
-                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-                rows.append((len(h), digest, chosen.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "set", "pivots"])
+                first = np.argsort(late, kind="stable")[: window(len(h), percent)]
+                chosen, often = h[first].view(np.int64), late[first] > 0
+                rows.append((len(h), chosen[~often], chosen[often]))
+            yield pd.DataFrame(rows, columns=["n", "cold", "hot"])
+
+    ids = classes.where(_can_link("n", percent) & F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"))
+    out = only(docs, ids, id_col, text_col).select("doc_id", windowed("text").alias("_w"))
+    out = written(out.select("doc_id", "_w.*"), "jaccard-members")
+    return out if out.count() == out.select("doc_id").distinct().count() else written(out.dropDuplicates(["doc_id"]), "jaccard-members")
+
 
-    out = docs.select(F.col(id_col).alias("doc_id"), sketched(F.col(text_col)).alias("_s"))
-    return written(out.select("doc_id", "_s.*"), "jaccard-sketches")
+def _can_link(n: str, percent: int) -> Column:
+    """Whether a set of that size can link with another than itself."""
+    return 100 * F.col(n) >= percent * (F.col(n) + 1)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hashes) of the given ids."""
+def regions_of(members: DataFrame) -> DataFrame:
+    """(pivot, doc_id, hub) of regions of two documents or more; the hub is the smallest one.
+
+    A rare pivot's rows meet in a window. Those of a frequent one are counted with partial sums and joined
+    back, so that even a pivot of a third of all documents is shared out.
+    """
+    cold = members.select("doc_id", F.explode("cold").alias("pivot"))
+    by = Window.partitionBy("pivot")
+    cold = cold.select("pivot", "doc_id", F.min("doc_id").over(by).alias("hub"), F.max("doc_id").over(by).alias("_hi")).where("hub < _hi")
+    hot = members.select("doc_id", F.explode("hot").alias("pivot"))
+    hubs = hot.groupBy("pivot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_hi")).where("hub < _hi")
+    hot = hot.join(hubs.drop("_hi"), "pivot").select("pivot", "doc_id", "hub")
+    return written(cold.drop("_hi").unionByName(hot), "jaccard-regions")
+
+
+def plausible(pairs: DataFrame, members: DataFrame, percent: int, part: float) -> DataFrame:
+    """Pairs (a, b, count) of shared pivots that can link.
+
+    Beyond the windows they share at most the larger rest of a set, so `count` must make up what the needed
+    intersection has above that; part: of it (1 is exact if count has all shared pivots).
+    """
+    rest = F.col("n") - F.size("cold") - F.size("hot")
+    one = members.select(F.col("doc_id").alias("a"), F.col("n").alias("_na"), rest.alias("_ra"))
+    two = members.select(F.col("doc_id").alias("b"), F.col("n").alias("_nb"), rest.alias("_rb"))
+    both = pairs.join(one, "a").join(two, "b")
+    sizes = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
+    needed = F.ceil(F.expr(f"{percent} * (_na + _nb) / {100 + percent} - 1e-6")) - F.greatest("_ra", "_rb")
+    return both.where(sizes & (F.col("count") >= part * needed)).select("a", "b")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact comparison."""
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t).view(np.int64))
 
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    return written(found.select("doc_id", hashed("text").alias("hashes")), "jaccard-sets")
-
-
-def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, ...) with their exact distance and whether they link."""
-    one = sets.dropDuplicates(["doc_id"])
-    left = one.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x"))
-    right = one.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("_x", "_y"))
-    out = both.withColumn("_i", common).withColumn("_u", F.size("_x") + F.size("_y") - F.col("_i"))
-    linked = 100 * F.col("_i").cast("long") >= percent * F.col("_u").cast("long")
-    return out.withColumn("distance", 1 - F.col("_i") / F.col("_u")).withColumn("linked", linked).drop("_x", "_y", "_i", "_u")
+    pairs = written(pairs, "jaccard-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = only(docs, written(ids, "jaccard-ids"), id_col, text_col)
+    sets = written(texts.select("doc_id", hashed("text").alias("_set")), "jaccard-sets")
+    if sets.count() > ids.count():  # repeated rows
+        sets = written(sets.dropDuplicates(["doc_id"]), "jaccard-sets")
+    left = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "_set": "_x"}), "a")
+    right = pairs.select("b").distinct().join(sets.withColumnRenamed("doc_id", "b"), "b").withColumnRenamed("_set", "_y")
+    both = left.join(right, "b")
+    both = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).alias("_n"))
+    return written(both.where(f"100 * _i >= {percent} * (_n - _i)").select("a", "b"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,78 +252,51 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("_old")
 
 
-def linked_pairs(docs: DataFrame, id_col: str, text_col: str, members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between members (doc_id, pivots) that connect all that link, as (a, b)."""
-    copies = members.select("doc_id", F.explode("pivots").alias("pivot"))
-    regions = copies.groupBy("pivot").agg(F.count("*").alias("_n"), F.min("doc_id").alias("hub")).where("_n > 1")
-    regions = written(copies.join(regions.drop("_n"), "pivot"), "jaccard-regions")
-
-    # The nearest document pivot: that of most of the document's regions.
-    votes = regions.where("doc_id > hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
-    nearest = votes.groupBy("a").agg(F.max(F.struct(F.col("count"), (-F.col("b")).alias("m"))).alias("_best"))
-    nearest = nearest.select("a", (-F.col("_best.m")).alias("b"))
-    sets = sets_of(docs, regions.select("doc_id").distinct(), id_col, text_col)
-    centred = written(compared(nearest, sets, percent).where("linked").select("a", "b", "distance"), "jaccard-centres")
-
-    # Regions whose documents are not all connected yet.
-    labels = components(centred)
-    # Of each document in a region: its centre (itself if it has none) and its component.
-    known = regions.select("doc_id").distinct().join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = known.join(centred.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "distance"), "doc_id", "left")
-    known = known.select(
-        "doc_id",
-        F.coalesce("component", "doc_id").alias("component"),
-        F.coalesce("centre", "doc_id").alias("centre"),
-        F.coalesce("distance", F.lit(0.0)).alias("distance"),
-    )
-    known = written(known, "jaccard-known")
-    placed = regions.select("pivot", "doc_id").join(known, "doc_id")
-    mixed = placed.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-    placed = written(placed.join(mixed.select("pivot"), "pivot"), "jaccard-mixed")
-
-    # Centres meet centres of other components.
-    cells = placed.groupBy("pivot", "centre").agg(F.min("component").alias("component"))
-    meet = _pairs(cells, "centre", "component")
-    centres = written(compared(meet, sets, percent), "jaccard-cells")
-    radius = known.groupBy("centre").agg(F.max("distance").alias("radius"))
-    wide = centres.where("not linked").join(radius.select(F.col("centre").alias("a"), F.col("radius").alias("_ra")), "a")
-    wide = wide.join(radius.select(F.col("centre").alias("b"), F.col("radius").alias("_rb")), "b")
-    reach = 1 - percent / 100 + 1e-9
-    wide = wide.where((F.col("_ra") + F.col("_rb") > 0) & (F.col("distance") <= reach + F.col("_ra") + F.col("_rb")))
-    wide = written(wide.select(F.col("a").alias("_ca"), F.col("b").alias("_cb"), F.col("distance").alias("_d")), "jaccard-wide")
-
-    # Members in the windows of cells that are near enough.
-    links = centred.select("a", "b").unionByName(centres.where("linked").select("a", "b"))
-    if wide.isEmpty():
-        return links
-    left = placed.select("pivot", F.col("doc_id").alias("_a"), F.col("centre").alias("_ca"), F.col("distance").alias("_da"))
-    right = placed.select("pivot", F.col("doc_id").alias("_b"), F.col("centre").alias("_cb"), F.col("distance").alias("_db"))
-    near = left.join(wide, "_ca").join(right, ["pivot", "_cb"])
-    near = near.where(F.col("_d") - F.col("_da") - F.col("_db") <= reach).where("not (_a = _ca and _b = _cb)")
-    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-    return links.unionByName(compared(near, sets, percent).where("linked").select("a", "b"))
-
-
-def _pairs(rows: DataFrame, key: str, component: str) -> DataFrame:
-    """Distinct pairs (a < b) of keys of one region and of different components."""
-    left = rows.select("pivot", F.col(key).alias("a"), F.col(component).alias("_p"))
-    right = rows.select("pivot", F.col(key).alias("b"), F.col(component).alias("_q"))
-    return left.join(right, "pivot").where("a < b and _p <> _q").select("a", "b").distinct()
+def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between members that connect all that link."""
+    regions = regions_of(members)
+    links = None
+    for turn in range(ROUNDS + 1):
+        if turn:
+            # What is left: regions whose documents are not all connected.
+            labels = components(links).withColumnRenamed("node", "doc_id")
+            placed = regions.select("pivot", "doc_id").join(labels, "doc_id", "left")
+            placed = placed.select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            # Each round has other documents as pivots.
+            pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("_hub")
+            mixed = placed.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), pick).where("_lo < _hi")
+            mixed = mixed.select("pivot", F.col("_hub.doc_id").alias("hub"), F.col("_hub.component").alias("_of"))
+            regions = written(placed.join(mixed, "pivot"), "jaccard-regions")
+            if regions.isEmpty():
+                return links
+        if turn == ROUNDS:
+            break
+        # A document's nearest pivot is the one of most of its regions.
+        others = regions.where("doc_id <> hub" if not turn else "doc_id <> hub and component <> _of")
+        votes = others.groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
+        nearest = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("_best")).select("a", "_best.b", "_best.count")
+        found = linked(plausible(nearest, members, percent, 0.25), docs, id_col, text_col, percent)
+        links = found if links is None else links.unionByName(found)
+    # Exactly: all pairs of different components that share pivots enough.
+    left = regions.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"))
+    right = regions.select("pivot", F.col("doc_id").alias("b"), F.col("component").alias("_q"))
+    pairs = left.join(right, "pivot").where("a < b and _p <> _q").groupBy("a", "b").count()
+    return links.unionByName(linked(plausible(pairs, members, percent, 1.0), docs, id_col, text_col, percent))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row."""
     bounded_batches(docs.sparkSession)
-    sketch = sketches(docs, id_col, text_col, percent)
-    full = sketch.where("n > 0")
-    classes = written(full.groupBy("set").agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
-    chosen = full.select("doc_id", "set", "pivots").join(classes, "set").where("doc_id = class_id").where(F.size("pivots") > 0)
-    members = written(chosen.select("doc_id", "pivots").dropDuplicates(["doc_id"]), "jaccard-members")
-    labels = components(linked_pairs(docs, id_col, text_col, members, percent))
-    out = full.select("doc_id", "n", "set").join(classes, "set")
-    out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    empty = sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component"))
-    out = out.select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("component")).unionByName(empty)
+    survey = surveyed(docs, id_col, text_col)
+    documents = survey.where("shingle is null").select("doc_id", "n", "set")
+    full = documents.where("n > 0")
+    classes = written(full.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n")), "jaccard-classes")
+    members = members_of(docs, survey, classes, id_col, text_col, percent)
+    labels = components(linked_pairs(docs, members, id_col, text_col, percent))
+    out = full.join(classes.drop("n"), "set").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = out.select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("component"))
+    empty = documents.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component"))
+    out = out.unionByName(empty)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
 
 
