@@ -88,9 +88,10 @@ def count_ngrams(docs: DataFrame, lang_col: str, text_col: str, buckets: int = B
                 codes = _normalised(text)
                 for at in range(0, len(codes), BLOCK):
                     sums += np.bincount(_buckets(codes[at : at + BLOCK + max(ORDERS) - 1], buckets), minlength=buckets)
-        yield pd.DataFrame(
-            {"lang": list(totals), "docs": [rows[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]}
-        )
+        if totals:
+            yield pd.DataFrame(
+                {"lang": list(totals), "docs": [rows[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]}
+            )
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
