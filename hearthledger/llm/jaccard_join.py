@@ -214,8 +214,8 @@ def plausible(pairs: DataFrame, members: DataFrame, percent: int, part: float) -
     return both.where(sizes & (F.col("count") >= part * needed)).select("a", "b")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact comparison."""
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs (a, b) with their exact distance and whether they link."""
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
@@ -231,7 +231,8 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
     right = pairs.select("b").distinct().join(sets.withColumnRenamed("doc_id", "b"), "b").withColumnRenamed("_set", "_y")
     both = left.join(right, "b")
     both = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).alias("_n"))
-    return written(both.where(f"100 * _i >= {percent} * (_n - _i)").select("a", "b"), "jaccard-links")
+    distance = 1 - F.col("_i") / (F.col("_n") - F.col("_i"))
+    return written(both.select("a", "b", distance.alias("distance"), F.expr(f"100 * _i >= {percent} * (_n - _i)").alias("linked")), "jaccard-compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def components(links: DataFrame) -> DataFrame:
 def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members that connect all that link."""
     regions = regions_of(members)
-    links = None
+    links = seen = None
     for turn in range(ROUNDS + 1):
         if turn:
             # What is left: regions whose documents are not all connected.
@@ -275,13 +276,22 @@ def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
         others = regions.where("doc_id <> hub" if not turn else "doc_id <> hub and component <> _of")
         votes = others.groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
         nearest = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("_best")).select("a", "_best.b", "_best.count")
-        found = linked(plausible(nearest, members, percent, 0.25), docs, id_col, text_col, percent)
+        near = compared(plausible(nearest, members, percent, 0.25), docs, id_col, text_col, percent)
+        to_pivot = near.select(F.col("a").alias("doc_id"), F.struct("b", "distance").alias("_d"))
+        seen = to_pivot if seen is None else seen.unionByName(to_pivot)
+        found = near.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-    # Exactly: all pairs of different components that share pivots enough.
-    left = regions.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"))
-    right = regions.select("pivot", F.col("doc_id").alias("b"), F.col("component").alias("_q"))
-    pairs = left.join(right, "pivot").where("a < b and _p <> _q").groupBy("a", "b").count()
-    return links.unionByName(linked(plausible(pairs, members, percent, 1.0), docs, id_col, text_col, percent))
+    # Exactly: pairs of different components that share pivots enough. A pair with a common document pivot, from which
+    # both distances are known, must lie within the window of the triangle inequality; the sizes must fit, too.
+    known = seen.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("_d")).alias("_near"))  # an entry a round at most
+    placed = regions.select("pivot", "doc_id", "component").join(members.select("doc_id", "n"), "doc_id").join(known, "doc_id", "left")
+    left = placed.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"), F.col("n").alias("_na"), F.col("_near").alias("_xa"))
+    right = placed.select("pivot", F.col("doc_id").alias("b"), F.col("component").alias("_q"), F.col("n").alias("_nb"), F.col("_near").alias("_xb"))
+    far = F.exists(F.map_keys("_xa"), lambda h: F.abs(F.col("_xa")[h] - F.try_element_at("_xb", h)) > 1 - percent / 100 + 1e-9)
+    fits = F.expr(f"a < b and _p <> _q and 100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)") & ~F.coalesce(far, F.lit(False))
+    pairs = left.withColumnRenamed("pivot", "_pivot").join(right, (F.col("_pivot") == F.col("pivot")) & fits).groupBy("a", "b").count()
+    near = compared(plausible(pairs, members, percent, 1.0), docs, id_col, text_col, percent)
+    return links.unionByName(near.where("linked").select("a", "b"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
