@@ -9,12 +9,13 @@ therefore has two levels, each with the pivots that do separate there:
    all others: its nearest pivots are its own shingles, rarest first in one global order. If y has none of
    the first w of them, then d(x, y) >= w / |x|; so beyond a window of floor(r |x|) + 1 pivots no partner can
    hide, and x is copied into just these regions. Regions of one set hold no pair and go at once.
-2. *Documents as pivots inside the regions.* In each of `ROUNDS` rounds a region has one document as its pivot; a
-   document's nearest one (that of most of its regions) is compared with it exactly. Groups of copies
-   link with one comparison for each member and round, and a region whose documents are connected is
-   done. What is left after the rounds recurs into pairs of documents of different components; the
-   number of pivots that they share bounds their intersection from above, and the exact comparison
-   decides about those that the bound lets through.
+   Its position in the two windows bounds what follows the first shared pivot: each entry has a
+   reach, the largest set that it can link with, and leaves a region whose smallest set is beyond it.
+2. *Documents as pivots inside the regions.* In each of `ROUNDS` rounds a region has one document as its
+   pivot, the one with the least before what the region shares; a document's nearest one (that of most of
+   its regions) is compared with it exactly. Groups of copies link with one comparison for each member and
+   round, and a region whose documents are connected is done. What is left after the rounds recurs into pairs
+   of documents of different components that reach each other, with an exact comparison of each.
 
 Components of the links come from label propagation with pointer jumping; each round is a
 table in the shared folder. The order of the pivots changes the work, never the result: shingles that are
@@ -184,55 +185,72 @@ def _can_link(n: str, percent: int) -> Column:
     return 100 * F.col(n) >= percent * (F.col(n) + 1)
 
 
-def regions_of(members: DataFrame) -> DataFrame:
-    """(pivot, doc_id, hub) of regions of two documents or more; the hub is the smallest one.
+def reach(pos: Column, n: Column, percent: int) -> Column:
+    """The largest set that can link with one of n if the first pivot they share has this position in it."""
+    return F.floor((n - pos) * (100 + percent) / percent + 1e-6).cast("int") - n
 
-    A rare pivot's rows meet in a window. Those of a frequent one are counted with partial sums and joined
-    back, so that even a pivot of a third of all documents is shared out.
+
+def regions_of(members: DataFrame, percent: int) -> DataFrame:
+    """(pivot, doc_id, n, reach, hub, rows) of regions of two documents or more; the hub is the most central document.
+
+    A document whose reach ends before the smallest set leaves the region. A rare pivot's rows meet in a
+    window. Those of a frequent one are counted with partial sums and joined back, so that even a pivot of a
+    third of all documents is shared out.
     """
-    cold = members.select("doc_id", F.explode("cold").alias("pivot"))
+
+    def entries(which: str, before: Column) -> DataFrame:
+        rows = members.select("doc_id", F.col("n").cast("int").alias("n"), before.alias("_before"), F.posexplode(which).alias("_at", "pivot"))
+        return rows.select("pivot", "doc_id", "n", reach(F.col("_at") + F.col("_before"), F.col("n"), percent).alias("reach"))
+
+    hub, smallest = F.max(_central()).alias("hub"), F.min(F.struct("n", "doc_id")).alias("_least")
     by = Window.partitionBy("pivot")
-    cold = cold.select("pivot", "doc_id", F.min("doc_id").over(by).alias("hub"), F.max("doc_id").over(by).alias("_hi")).where("hub < _hi")
-    hot = members.select("doc_id", F.explode("hot").alias("pivot"))
-    hubs = hot.groupBy("pivot").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_hi")).where("hub < _hi")
-    hot = hot.join(hubs.drop("_hi"), "pivot").select("pivot", "doc_id", "hub")
-    return written(cold.drop("_hi").unionByName(hot), "jaccard-regions")
+    cold = entries("cold", F.lit(0)).select("*", *(c.over(by).alias(a) for c, a in ((F.max(_central()), "hub"), (F.min(F.struct("n", "doc_id")), "_least"), (F.count("*"), "rows"))))
+    hot = entries("hot", F.size("cold"))
+    hubs = hot.groupBy("pivot").agg(hub, smallest, F.count("*").alias("rows"))
+    rows = cold.unionByName(hot.join(hubs, "pivot")).where("rows > 1 and (doc_id = _least.doc_id or reach >= _least.n)")
+    return written(rows.drop("_least"), "jaccard-regions")
 
 
-def plausible(pairs: DataFrame, members: DataFrame, percent: int, part: float) -> DataFrame:
-    """Pairs (a, b, count) of shared pivots that can link.
+def _central() -> Column:
+    """Greatest for the document with the least before what its region shares: it links with most of the others."""
+    return F.struct((F.col("reach") / F.col("n")).alias("share"), "doc_id", "n", "reach")
 
-    Beyond the windows they share at most the larger rest of a set, so `count` must make up what the needed
-    intersection has above that; part: of it (1 is exact if count has all shared pivots).
-    """
-    rest = F.col("n") - F.size("cold") - F.size("hot")
-    one = members.select(F.col("doc_id").alias("a"), F.col("n").alias("_na"), rest.alias("_ra"))
-    two = members.select(F.col("doc_id").alias("b"), F.col("n").alias("_nb"), rest.alias("_rb"))
-    both = pairs.join(one, "a").join(two, "b")
-    sizes = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
-    needed = F.ceil(F.expr(f"{percent} * (_na + _nb) / {100 + percent} - 1e-6")) - F.greatest("_ra", "_rb")
-    return both.where(sizes & (F.col("count") >= part * needed)).select("a", "b")
 
+def contested(regions: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """What is left of the regions: documents that reach the smallest set of another component, with a hub of this turn."""
+    placed = regions.select("pivot", "doc_id", "n", "reach").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    # The most central one of another half of the components in each turn.
+    half = (F.xxhash64("component", F.lit(turn)) % 2 == 0).alias("half")
+    pick = F.max(F.struct(half, (F.col("reach") / F.col("n")).alias("share"), "doc_id", "n", "reach", "component")).alias("hub")
+    first = F.min(F.struct("n", "component")).alias("_first")
+    mixed = placed.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), first, pick, F.count("*").alias("rows")).where("_lo < _hi")
+    left = placed.join(mixed.drop("_lo", "_hi"), "pivot").where("component = _first.component or reach >= _first.n")
+    return written(left.drop("_first"), "jaccard-regions")
 
-def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs (a, b) with their exact distance and whether they link."""
 
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingles(t).view(np.int64))
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs (a, b) with their exact distance and whether they link. The texts of b should be the fewer ones."""
+
+    @F.pandas_udf("shared long, total long")
+    def overlap(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows, last, y = [], None, None
+        for one, two in zip(left, right, strict=True):
+            x = shingles(one)
+            if last is None or two != last:  # a hub's rows come one after another
+                last, y = two, shingles(two)
+            rows.append((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+        return pd.DataFrame(rows, columns=["shared", "total"])
 
     pairs = written(pairs, "jaccard-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = only(docs, written(ids, "jaccard-ids"), id_col, text_col)
-    sets = written(texts.select("doc_id", hashed("text").alias("_set")), "jaccard-sets")
-    if sets.count() > ids.count():  # repeated rows
-        sets = written(sets.dropDuplicates(["doc_id"]), "jaccard-sets")
-    left = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "_set": "_x"}), "a")
-    right = pairs.select("b").distinct().join(sets.withColumnRenamed("doc_id", "b"), "b").withColumnRenamed("_set", "_y")
-    both = left.join(right, "b")
-    both = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("long").alias("_i"), (F.size("_x") + F.size("_y")).alias("_n"))
-    distance = 1 - F.col("_i") / (F.col("_n") - F.col("_i"))
-    return written(both.select("a", "b", distance.alias("distance"), F.expr(f"100 * _i >= {percent} * (_n - _i)").alias("linked")), "jaccard-compared")
+    small = F.broadcast if pairs.count() <= MAX_BROADCAST_IDS else lambda df: df
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    left = texts.join(small(pairs), F.col("_id") == F.col("a")).select("a", "b", F.col("_text").alias("_x"))
+    right = texts.join(small(pairs.select("b").distinct()), F.col("_id") == F.col("b"), "left_semi")
+    right = right.select(F.col("_id").alias("b"), F.col("_text").alias("_y"))
+    both = left.join(right, "b").select("a", "b", overlap("_x", "_y").alias("_o"))
+    linked = F.expr(f"100 * _o.shared >= {percent} * (_o.total - _o.shared)")
+    return written(both.select("a", "b", (1 - F.col("_o.shared") / (F.col("_o.total") - F.col("_o.shared"))).alias("distance"), linked.alias("linked")), "jaccard-compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,42 +273,34 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members that connect all that link."""
-    regions = regions_of(members)
+    regions = regions_of(members, percent)
     links = seen = None
     for turn in range(ROUNDS + 1):
         if turn:
-            # What is left: regions whose documents are not all connected.
-            labels = components(links).withColumnRenamed("node", "doc_id")
-            placed = regions.select("pivot", "doc_id").join(labels, "doc_id", "left")
-            placed = placed.select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            # Each round has other documents as pivots.
-            pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("_hub")
-            mixed = placed.groupBy("pivot").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), pick).where("_lo < _hi")
-            mixed = mixed.select("pivot", F.col("_hub.doc_id").alias("hub"), F.col("_hub.component").alias("_of"))
-            regions = written(placed.join(mixed, "pivot"), "jaccard-regions")
-            if regions.isEmpty():
-                return links
-        if turn == ROUNDS:
-            break
-        # A document's nearest pivot is the one of most of its regions.
-        others = regions.where("doc_id <> hub" if not turn else "doc_id <> hub and component <> _of")
-        votes = others.groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
-        nearest = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("_best")).select("a", "_best.b", "_best.count")
-        near = compared(plausible(nearest, members, percent, 0.25), docs, id_col, text_col, percent)
+            regions = contested(regions, components(links), turn)
+            if turn == ROUNDS or regions.isEmpty():
+                break
+        # A document's nearest pivot is the one of most of the regions in which they can link; small regions count for more in every second turn.
+        others = regions.where(f"doc_id <> hub.doc_id and reach >= hub.n and hub.reach >= n and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        if turn:
+            others = others.where("component <> hub.component")
+        votes = others.groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).agg(F.sum(1 / F.col("rows") if turn % 2 else F.lit(1.0)).alias("votes"))
+        nearest = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("_best")).select("a", "_best.b")
+        near = compared(nearest, docs, id_col, text_col, percent)
         to_pivot = near.select(F.col("a").alias("doc_id"), F.struct("b", "distance").alias("_d"))
         seen = to_pivot if seen is None else seen.unionByName(to_pivot)
         found = near.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-    # Exactly: pairs of different components that share pivots enough. A pair with a common document pivot, from which
-    # both distances are known, must lie within the window of the triangle inequality; the sizes must fit, too.
+    # Exactly: pairs of different components that reach each other. A pair with a common document pivot, from which
+    # both distances are known, must lie within the window of the triangle inequality.
     known = seen.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("_d")).alias("_near"))  # an entry a round at most
-    placed = regions.select("pivot", "doc_id", "component").join(members.select("doc_id", "n"), "doc_id").join(known, "doc_id", "left")
-    left = placed.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"), F.col("n").alias("_na"), F.col("_near").alias("_xa"))
-    right = placed.select("pivot", F.col("doc_id").alias("b"), F.col("component").alias("_q"), F.col("n").alias("_nb"), F.col("_near").alias("_xb"))
+    placed = regions.select("pivot", "doc_id", "component", "n", "reach").join(known, "doc_id", "left")
+    left = placed.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"), F.col("n").alias("_na"), F.col("reach").alias("_ra"), F.col("_near").alias("_xa"))
+    right = placed.select(F.col("pivot").alias("_pivot"), F.col("doc_id").alias("b"), F.col("component").alias("_q"), F.col("n").alias("_nb"), F.col("reach").alias("_rb"), F.col("_near").alias("_xb"))
     far = F.exists(F.map_keys("_xa"), lambda h: F.abs(F.col("_xa")[h] - F.try_element_at("_xb", h)) > 1 - percent / 100 + 1e-9)
-    fits = F.expr(f"a < b and _p <> _q and 100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)") & ~F.coalesce(far, F.lit(False))
-    pairs = left.withColumnRenamed("pivot", "_pivot").join(right, (F.col("_pivot") == F.col("pivot")) & fits).groupBy("a", "b").count()
-    near = compared(plausible(pairs, members, percent, 1.0), docs, id_col, text_col, percent)
+    fits = F.expr(f"pivot = _pivot and a < b and _p <> _q and _ra >= _nb and _rb >= _na and 100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
+    pairs = left.join(right, fits & ~F.coalesce(far, F.lit(False))).select("a", "b").distinct()
+    near = compared(pairs, docs, id_col, text_col, percent)
     return links.unionByName(near.where("linked").select("a", "b"))
 
 
