@@ -17,6 +17,10 @@ therefore has two levels, each with the pivots that do separate there:
    round, and a region whose documents are connected is done. What is left after the rounds recurs into pairs
    of documents of different components that reach each other, with an exact comparison of each.
 
+No exact comparison is made of a pair that is surely apart: each document has a sketch, the number of its shingles in each
+of about n / 4 hash buckets, and the sum of the differences of two sketches (a metric too) is at most the size
+of the symmetric difference. The rest of the pairs have their texts compared.
+
 Components of the links come from label propagation with pointer jumping; each round is a
 table in the shared folder. The order of the pivots changes the work, never the result: shingles that are
 frequent anywhere come last. Counting reads all texts; the `HOT` most frequent ones are kept on the driver.
@@ -50,6 +54,9 @@ BLOCK_SHINGLES = 3_000_000
 #: Ids that are broadcast at most (16 bytes each); beyond it a shuffle join takes over.
 MAX_BROADCAST_IDS = 1_000_000
 
+#: Shingles of a bucket of a sketch, about.
+BUCKET = 4
+
 #: Rounds with document pivots before the exact comparison of what is left.
 ROUNDS = 3
 
@@ -97,6 +104,21 @@ def window(n: int, percent: int = PERCENT) -> int:
     return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """The size of a set (4 bytes) and how many of it fall into each bucket (a byte each, 255 at most)."""
+    buckets = 1 << max(4, (len(h) // BUCKET - 1).bit_length() if len(h) > BUCKET else 0)
+    counts = np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return len(h).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def apart(one: bytes, two: bytes) -> tuple[int, int]:
+    """(a lower bound of the symmetric difference, the sum of the sizes) of two sketched sets."""
+    x, y = (np.frombuffer(v, np.uint8, offset=4).astype(np.int64) for v in (one, two))
+    m = min(len(x), len(y))  # buckets are the low bits, so the finer sketch folds onto the coarser one
+    total = int.from_bytes(one[:4], "little") + int.from_bytes(two[:4], "little")
+    return int(np.abs(x.reshape(-1, m).sum(0) - y.reshape(-1, m).sum(0)).sum()), total
+
+
 def surveyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass: (doc_id, n, set) of each document, and (shingle, n) of what is frequent in a block of texts."""
 
@@ -155,10 +177,10 @@ def only(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
 
 
 def members_of(docs: DataFrame, survey: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(doc_id, n, cold, hot): one document of each class, with its window of rare and of frequent pivots."""
+    """(doc_id, n, cold, hot, sketch): one document of each class, with its window of rare and of frequent pivots."""
     shared = docs.sparkSession.sparkContext.broadcast(order_of(survey))
 
-    @F.pandas_udf("n long, cold array<long>, hot array<long>")
+    @F.pandas_udf("n long, cold array<long>, hot array<long>, sketch binary")
     def windowed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hot, place = shared.value
         for part in texts:
@@ -171,8 +193,8 @@ def members_of(docs: DataFrame, survey: DataFrame, classes: DataFrame, id_col: s
                     late = np.where(hot[near] == h, place[near], 0)
                 first = np.argsort(late, kind="stable")[: window(len(h), percent)]
                 chosen, often = h[first].view(np.int64), late[first] > 0
-                rows.append((len(h), chosen[~often], chosen[often]))
-            yield pd.DataFrame(rows, columns=["n", "cold", "hot"])
+                rows.append((len(h), chosen[~often], chosen[often], sketch(h)))
+            yield pd.DataFrame(rows, columns=["n", "cold", "hot", "sketch"])
 
     ids = classes.where(_can_link("n", percent) & F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"))
     out = only(docs, ids, id_col, text_col).select("doc_id", windowed("text").alias("_w"))
@@ -204,7 +226,10 @@ def regions_of(members: DataFrame, percent: int) -> DataFrame:
 
     hub, smallest = F.max(_central()).alias("hub"), F.min(F.struct("n", "doc_id")).alias("_least")
     by = Window.partitionBy("pivot")
-    cold = entries("cold", F.lit(0)).select("*", *(c.over(by).alias(a) for c, a in ((F.max(_central()), "hub"), (F.min(F.struct("n", "doc_id")), "_least"), (F.count("*"), "rows"))))
+    # Dealt out as three numbers a row, before the window works out its structs.
+    packed = entries("cold", F.lit(0)).select("pivot", "doc_id", F.expr("shiftleft(cast(n as bigint), 32) + reach").alias("_p")).repartition("pivot")
+    cold = packed.select("pivot", "doc_id", F.expr("cast(shiftright(_p, 32) as int)").alias("n"), F.expr("cast(_p & 4294967295 as int)").alias("reach"))
+    cold = cold.select("*", *(c.over(by).alias(a) for c, a in ((F.max(_central()), "hub"), (F.min(F.struct("n", "doc_id")), "_least"), (F.count("*"), "rows"))))
     hot = entries("hot", F.size("cold"))
     hubs = hot.groupBy("pivot").agg(hub, smallest, F.count("*").alias("rows"))
     rows = cold.unionByName(hot.join(hubs, "pivot")).where("rows > 1 and (doc_id = _least.doc_id or reach >= _least.n)")
@@ -229,28 +254,43 @@ def contested(regions: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return written(left.drop("_first"), "jaccard-regions")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Pairs (a, b) with their exact distance and whether they link. The texts of b should be the fewer ones."""
+def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, _x, _y): pairs with the values (_id, _value) of both; those of b should be the fewer ones."""
+    small = F.broadcast if pairs.count() <= MAX_BROADCAST_IDS else lambda df: df
+    left = values.join(small(pairs.select("a", "b")), F.col("_id") == F.col("a")).select("a", "b", F.col("_value").alias("_x"))
+    right = values.join(small(pairs.select("b").distinct()), F.col("_id") == F.col("b"), "left_semi")
+    return left.join(right.select(F.col("_id").alias("b"), F.col("_value").alias("_y")), "b")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Pairs (a, b) with bounds of their distance (lo, hi) and whether they link; exact where sketches leave it open."""
 
-    @F.pandas_udf("shared long, total long")
-    def overlap(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("apart long, total long")
+    def bound(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([apart(x, y) for x, y in zip(left, right, strict=True)], columns=["apart", "total"])
+
+    @F.pandas_udf("apart long, total long")
+    def exact(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         rows, last, y = [], None, None
         for one, two in zip(left, right, strict=True):
             x = shingles(one)
             if last is None or two != last:  # a hub's rows come one after another
                 last, y = two, shingles(two)
-            rows.append((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
-        return pd.DataFrame(rows, columns=["shared", "total"])
-
-    pairs = written(pairs, "jaccard-pairs")
-    small = F.broadcast if pairs.count() <= MAX_BROADCAST_IDS else lambda df: df
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    left = texts.join(small(pairs), F.col("_id") == F.col("a")).select("a", "b", F.col("_text").alias("_x"))
-    right = texts.join(small(pairs.select("b").distinct()), F.col("_id") == F.col("b"), "left_semi")
-    right = right.select(F.col("_id").alias("b"), F.col("_text").alias("_y"))
-    both = left.join(right, "b").select("a", "b", overlap("_x", "_y").alias("_o"))
-    linked = F.expr(f"100 * _o.shared >= {percent} * (_o.total - _o.shared)")
-    return written(both.select("a", "b", (1 - F.col("_o.shared") / (F.col("_o.total") - F.col("_o.shared"))).alias("distance"), linked.alias("linked")), "jaccard-compared")
+            total = len(x) + len(y)
+            rows.append((total - 2 * len(np.intersect1d(x, y, assume_unique=True)), total))
+        return pd.DataFrame(rows, columns=["apart", "total"])
+
+    # With the sizes' sum t and the symmetric difference s: intersection (t - s) / 2, union (t + s) / 2.
+    links = F.expr(f"(100 - {percent}) * _o.total >= (100 + {percent}) * _o.apart")
+    distance = 2 * F.col("_o.apart") / (F.col("_o.total") + F.col("_o.apart"))
+    sketches = members.select(F.col("doc_id").alias("_id"), F.col("sketch").alias("_value"))
+    bounds = _both(written(pairs, "jaccard-pairs"), sketches).select("a", "b", bound("_x", "_y").alias("_o"))
+    bounds = written(bounds.select("a", "b", distance.alias("lo"), links.alias("open")), "jaccard-bounds")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_value"))
+    near = _both(bounds.where("open"), texts).select("a", "b", exact("_x", "_y").alias("_o"))
+    near = near.select("a", "b", distance.alias("lo"), distance.alias("hi"), links.alias("linked"))
+    far = bounds.where("not open").select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+    return written(near.unionByName(far), "jaccard-compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,21 +326,22 @@ def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
             others = others.where("component <> hub.component")
         votes = others.groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).agg(F.sum(1 / F.col("rows") if turn % 2 else F.lit(1.0)).alias("votes"))
         nearest = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("_best")).select("a", "_best.b")
-        near = compared(nearest, docs, id_col, text_col, percent)
-        to_pivot = near.select(F.col("a").alias("doc_id"), F.struct("b", "distance").alias("_d"))
+        near = compared(nearest, docs, members, id_col, text_col, percent)
+        to_pivot = near.select(F.col("a").alias("doc_id"), F.struct("b", F.struct("lo", "hi").alias("d")).alias("_d"))
         seen = to_pivot if seen is None else seen.unionByName(to_pivot)
         found = near.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
     # Exactly: pairs of different components that reach each other. A pair with a common document pivot, from which
-    # both distances are known, must lie within the window of the triangle inequality.
+    # bounds of both distances are known, must lie within the window of the triangle inequality.
     known = seen.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("_d")).alias("_near"))  # an entry a round at most
     placed = regions.select("pivot", "doc_id", "component", "n", "reach").join(known, "doc_id", "left")
     left = placed.select("pivot", F.col("doc_id").alias("a"), F.col("component").alias("_p"), F.col("n").alias("_na"), F.col("reach").alias("_ra"), F.col("_near").alias("_xa"))
     right = placed.select(F.col("pivot").alias("_pivot"), F.col("doc_id").alias("b"), F.col("component").alias("_q"), F.col("n").alias("_nb"), F.col("reach").alias("_rb"), F.col("_near").alias("_xb"))
-    far = F.exists(F.map_keys("_xa"), lambda h: F.abs(F.col("_xa")[h] - F.try_element_at("_xb", h)) > 1 - percent / 100 + 1e-9)
+    one, two = (lambda h: F.try_element_at("_xa", h)), (lambda h: F.try_element_at("_xb", h))
+    far = F.exists(F.map_keys("_xa"), lambda h: F.greatest(one(h)["lo"] - two(h)["hi"], two(h)["lo"] - one(h)["hi"]) > 1 - percent / 100 + 1e-9)
     fits = F.expr(f"pivot = _pivot and a < b and _p <> _q and _ra >= _nb and _rb >= _na and 100 * least(_na, _nb) >= {percent} * greatest(_na, _nb)")
     pairs = left.join(right, fits & ~F.coalesce(far, F.lit(False))).select("a", "b").distinct()
-    near = compared(pairs, docs, id_col, text_col, percent)
+    near = compared(pairs, docs, members, id_col, text_col, percent)
     return links.unionByName(near.where("linked").select("a", "b"))
 
 
@@ -322,8 +363,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each component: that of the smallest id, once."""
-    ids = joined.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
+    kept = written(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("_rows")), "jaccard-kept")
+    out = docs.join(kept.select(id_col), id_col, "left_semi")
+    return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

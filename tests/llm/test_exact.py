@@ -180,3 +180,14 @@ def test_pipeline_stages(spark, sf_dir, duck):
     texts = {r[0]: r[1] or "" for r in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
     for r in docs.collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 17, 64, 300, 5000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            y = np.unique(np.concatenate((x[: int(len(x) * share)], rng.integers(0, 2**63, 1 + n // 8).astype(np.uint64))))
+            low, total = jaccard_join.apart(jaccard_join.sketch(x), jaccard_join.sketch(y))
+            assert total == len(x) + len(y)
+            assert low <= len(np.setxor1d(x, y))
