@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 #: Words in a worker's cache at most; it is emptied when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Characters of the documents that make up one corpus, about; more is faster and takes more memory.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
