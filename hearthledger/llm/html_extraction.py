@@ -4,28 +4,33 @@ A page's token stream of tags and texts is read into nested elements. Runs of li
 of like groups of siblings, fold into repeated groups. The wrapper of a host starts as one folded
 page and is aligned with the next pages in turn: elements that only one side has become
 optional, a run against a single element becomes repeated, and texts that differ become
-slots. So a wrapper is an expression of tags, `()+`, `()?` and slots, without unions. Its slots are then
+slots; elements whose class or id words differ (a post's slug, a body's category) become one of the words in common. So a wrapper is an expression of tags, `()+`, `()?` and slots, without unions. Its slots are then
 marked: main text or chrome, by element names, class words, link density and the share of the page's
 varying text. To extract, a page is matched with its host's wrapper in page order, and the text of main
-slots is taken; an element that the wrapper does not know is judged by its own name and class.
+slots is taken; an element that the wrapper does not know is judged by its own name and class. A page in which
+its host's wrapper finds no main part is read with the wrapper of that page alone.
 
-A host's wrapper comes from at most `SAMPLE` pages (one for each of `SAMPLE` slices of a hash, found by a
-min aggregation that sends no html); all pages are extracted, whole. Wrappers are broadcast while
+A host's wrapper comes from all of its pages: each task folds its pages into one partial wrapper for each structure,
+partial wrappers are merged in `SALTS` parts of a host and then for the host, in the order of the structures, so that it
+does not matter how pages are dealt out. No html is shuffled. More than `CHILDREN` different parts of one element become one
+repeated group without an order. All pages are extracted, whole. Wrappers are broadcast while
 their number and size stay below `MAX_HOSTS` and `MAX_BYTES`; beyond that they are joined by host with a salt, so that a host
 of a third of all pages is shared out.
 
 Defined cases: null or empty html gives an empty text; a null URL or one without `://` belongs
-to the host ``; repeated rows count once in a sample and give equal texts; texts outside any
+to the host ``; repeated rows weigh as often as they occur and give equal texts, but are no further pages; texts outside any
 block, comments, broken tags and missing end tags are read as browsers would. Extra columns
 pass through, those named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +39,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table, written
 from .url_filters import host_of
 
-SAMPLE = 16
+#: Parts of one element, beyond which their order is given up.
+CHILDREN = 64
+#: Parts of the wrappers that a task keeps before it passes them on.
+PARTS = 200_000
 MAX_HOSTS = 20_000
 MAX_BYTES = 64 << 20
 SALTS = 32
@@ -50,6 +58,8 @@ WALLS = set("table ul ol dl article section div main body html td th nav aside f
 CHROME = set("nav footer aside form script style noscript template iframe svg button select textarea head title menu dialog object canvas".split())
 CHROME_WORDS = set("ad ads advert adverts advertisement banner cookie cookies consent notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription login signup search widget toolbar".split())
 MAIN = {"article", "main"}
+#: Elements of which a place has one kind: they are the same part whatever their words.
+SINGLE = MAIN | {"html", "body"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -123,12 +133,45 @@ def folded(e: Element, in_link: bool = False) -> dict:
     in_link = in_link or e.tag == "a"
     out = {"s": e.sign, "k": [], "o": False, "r": False, "t": "", "v": False, "m": 0, "l": 0}
     text = " ".join(" ".join(x for x in e.kids if isinstance(x, str)).split())
-    out["t"] = text
+    out["t"] = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest() if text else ""
     out["m"], out["l"] = len(text), len(text) if in_link else 0
-    out["k"] = runs([folded(x, in_link) for x in e.kids if not isinstance(x, str)])
+    out["k"] = bounded(runs([folded(x, in_link) for x in e.kids if not isinstance(x, str)]))
     return out
 
 
+def flat(kids: list[dict]) -> list[dict]:
+    """The parts, with those of groups in their place."""
+    return [x for k in kids for x in (flat(k["k"]) if k["s"] == "()" else [k])]
+
+
+def bounded(kids: list[dict]) -> list[dict]:
+    """Too many parts become one repeated group of optional ones: by signature, and by name and chrome words if these are too many."""
+    if len(kids) <= CHILDREN:
+        return kids
+    for key in (lambda s: s, lambda s: (s.split(".")[0], tuple(w for w in s.split(".")[1:] if w in CHROME_WORDS))):
+        found: dict = {}
+        for k in flat(kids):
+            at = key(k["s"])
+            found[at] = merged(found[at], k, grow=True) if at in found else k
+        if len(found) <= CHILDREN:
+            break
+    parts = [x | {"o": True, "r": True} for x in found.values()]
+    return [{"s": "()", "k": sorted(parts, key=lambda x: x["s"]), "o": False, "r": True, "t": "", "v": False, "m": 0, "l": 0}]
+
+
+@lru_cache(1 << 16)
+def common(a: str, b: str) -> tuple[str, int]:
+    """(the signature that fits both, how alike they are); 0 if they are not one part."""
+    if a == b:
+        return a, 4
+    (one, *words), (two, *others) = a.split("."), b.split(".")
+    shared = [w for w in words if w in others]
+    out = ".".join([one, *shared])
+    if one != two or not (shared or one in SINGLE) or not is_chrome(a, False) == is_chrome(b, False) == is_chrome(out, False):
+        return "", 0
+    return out, 2 if shared else 1
+
+
 def runs(kids: list[dict]) -> list[dict]:
     """Equal neighbours, and equal neighbouring groups of up to four, become one repeated part."""
     for size in (1, 2, 3, 4):
@@ -158,6 +201,8 @@ def runs(kids: list[dict]) -> list[dict]:
 def merged(a: dict, b: dict, grow: bool = False) -> dict:
     """The wrapper that fits what either fits. grow: two repeats in one page, whose texts always differ."""
     out = dict(a)
+    if a["s"] != b["s"]:
+        out["s"] = common(a["s"], b["s"])[0] or ".".join([a["s"].split(".")[0], *(w for w in a["s"].split(".")[1:] if w in b["s"].split(".")[1:])])
     out["o"], out["r"] = a["o"] or b["o"], a["r"] or b["r"]
     out["v"] = a["v"] or b["v"] or a["t"] != b["t"] or grow
     out["m"], out["l"] = a["m"] + b["m"], a["l"] + b["l"]
@@ -168,14 +213,15 @@ def merged(a: dict, b: dict, grow: bool = False) -> dict:
 def aligned(a: list[dict], b: list[dict]) -> list[dict]:
     """Children in order: those in common are merged, the others become optional."""
     n, m = len(a), len(b)
+    alike = [[common(x["s"], y["s"])[1] for y in b] for x in a]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            same = a[i]["s"] == b[j]["s"]
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same else 0)
+            both = best[i + 1][j + 1] + alike[i][j] if alike[i][j] else 0
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], both)
     out, i, j = [], 0, 0
     while i < n and j < m:
-        if a[i]["s"] == b[j]["s"] and best[i][j] == best[i + 1][j + 1] + 1:
+        if alike[i][j] and best[i][j] == best[i + 1][j + 1] + alike[i][j]:
             out.append(merged(a[i], b[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
@@ -184,9 +230,10 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
         else:
             out.append(b[j] | {"o": True})
             j += 1
-    return runs([*out, *(x | {"o": True} for x in [*a[i:], *b[j:]])])
+    return bounded(runs([*out, *(x | {"o": True} for x in [*a[i:], *b[j:]])]))
 
 
+@lru_cache(1 << 16)
 def is_chrome(sign: str, inside: bool) -> bool:
     """Whether an element is no part of an article; inside: it stands in one."""
     tag, *words = sign.split(".")
@@ -199,9 +246,11 @@ def infer(pages: list[str]) -> dict:
     for page in pages:
         one = folded(parse(page))
         wrapper = one if wrapper is None else merged(wrapper, one)
-    if wrapper is None:
-        return {"s": "", "k": [], "keep": False}
-    several = len(pages) > 2
+    return {"s": "", "k": [], "keep": False} if wrapper is None else marks(wrapper, len(pages) > 2)
+
+
+def marks(wrapper: dict, several: bool) -> dict:
+    """The wrapper with its parts marked; several: what does not vary is of more than two pages."""
 
     def mains(w: dict) -> list[dict]:
         if is_chrome(w["s"], False):
@@ -223,12 +272,12 @@ def infer(pages: list[str]) -> dict:
             at = best
         found = [at]
 
-    def marked(w: dict, inside: bool) -> dict:
-        chosen = any(w is x for x in found)
+    def marked(w: dict, inside: bool, group: bool = False) -> dict:
+        chosen = group or any(w is x for x in found)
         inside = inside or chosen
         linked = inside and not chosen and w["r"] and total(w, "m") > 0 and total(w, "l") > 0.9 * total(w, "m") and w["s"].split(".")[0] in ("li", "ul", "ol")
         keep = False if is_chrome(w["s"], inside) or linked else True if chosen else None
-        return {"s": w["s"], "k": [marked(k, inside) for k in w["k"]], "o": w["o"], "r": w["r"], "keep": keep}
+        return {"s": w["s"], "k": [marked(k, inside, chosen and w["s"] == "()") for k in w["k"]], "o": w["o"], "r": w["r"], "keep": keep}
 
     def total(w: dict, key: str) -> int:
         return w[key] + sum(total(k, key) for k in w["k"])
@@ -236,55 +285,109 @@ def infer(pages: list[str]) -> dict:
     return marked(wrapper, False)
 
 
-def extract(page: str | None, wrapper: dict) -> str:
-    """The text of the page's main slots, blocks joined by one space."""
+def extract(page: str | None, wrapper: dict, own: bool = False) -> str:
+    """The text of the page's main slots, blocks joined by one space. own: the wrapper is of this page alone."""
     out: list[str] = []
+    main = bool(wrapper.get("keep"))
 
-    def walk(e: Element, w: dict | None, keep: bool, inside: bool) -> None:
-        parts = [] if w is None else [x for k in w["k"] for x in (k["k"] if k["s"] == "()" else [k])]
+    def walk(e: Element, w: dict | None, keep: bool, inside: bool, barred: bool) -> None:
+        nonlocal main
+        parts = [] if w is None else flat(w["k"])
         at = 0
         for kid in e.kids:
             if isinstance(kid, str):
                 if keep:
                     out.append(kid)
                 continue
-            # In page order: the next part of that signature, else (in a repeated group) one before.
+            # In page order: the next part of that signature, else (in a repeated group) one before, else the most alike.
             places = [*range(at, len(parts)), *range(at)]
             found = next((i for i in places if parts[i]["s"] == kid.sign), None)
+            if found is None:
+                found = max(places, key=lambda i: common(parts[i]["s"], kid.sign)[1], default=None)
+                found = None if found is None or not common(parts[found]["s"], kid.sign)[1] else found
             known = None if found is None else parts[found]
             at = at if found is None else found
-            mark = known["keep"] if known else (False if is_chrome(kid.sign, inside) else None)
+            if known:
+                mark = known["keep"]
+            elif is_chrome(kid.sign, inside):
+                mark = False
+            else:
+                mark = True if kid.tag in MAIN and not barred else None
+            main = main or bool(mark)
             now = keep if mark is None else mark
             block = kid.tag not in INLINE
             if block:
                 out.append(" ")
-            walk(kid, known, now, inside or bool(mark))
+            walk(kid, known, now, inside or bool(mark), barred or mark is False)
             if block:
                 out.append(" ")
 
     if isinstance(page, str) and page:
-        walk(parse(page), wrapper, bool(wrapper.get("keep")), bool(wrapper.get("keep")))
+        walk(parse(page), wrapper, main, main, False)
+        if not main and not own:
+            return extract(page, infer([page]), own=True)
     return " ".join("".join(out).split())
 
 
+def shape(w: dict) -> str:
+    """The same for wrappers that differ in their texts only."""
+    return f"{w['s']}{'?' * w['o']}{'+' * w['r']}({','.join(map(shape, w['k']))})"
+
+
+def size_of(w: dict) -> int:
+    return 1 + sum(map(size_of, w["k"]))
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(host, wrapper as JSON), written to the shared folder."""
     spark = pages.sparkSession
     bounded_batches(spark, ROWS)
-    all_ = pages.select(
-        host_of(url_col).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("hash"), F.col(html_col).alias("html")
-    ).where(F.length("html") > 0)
-    one_each = all_.groupBy("host", F.pmod("hash", F.lit(SAMPLE)).alias("slice")).agg(F.min("hash").alias("hash"))
-    chosen = written(one_each.select("host", "hash"), "html-sample")
-    if chosen.count() <= MAX_HOSTS * SAMPLE:
-        chosen = F.broadcast(chosen)
-    sample = all_.join(chosen, ["host", "hash"]).dropDuplicates(["host", "hash"])
+    # Of a partial wrapper, three different pages are enough to know that it is of several.
+    schema = "host string, shape string, seen array<long>, partial string"
+
+    def rows(found: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, sorted(seen), json.dumps(w)) for k, (seen, w) in found.items()], columns=["host", "shape", "seen", "partial"])
+
+    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}
+        total = 0
+        for pdf in batches:
+            for host, page_hash, page in zip(pdf["host"], pdf["hash"], pdf["html"]):
+                one = folded(parse(page))
+                key = host, hashlib.blake2b(shape(one).encode("utf-8", "replace"), digest_size=16).hexdigest()
+                if key in found:
+                    seen, before = found[key]
+                    found[key] = set(sorted({*seen, page_hash})[:3]), merged(before, one)
+                else:
+                    found[key] = {page_hash}, one
+                    total += size_of(one)
+            if total >= PARTS:
+                yield rows(found)
+                found, total = {}, 0
+        yield rows(found)
+
+    def one_of(pdf: pd.DataFrame) -> tuple[list[int], dict]:
+        wrapper, seen = None, set()
+        for some, partial in zip(*(pdf.sort_values(["shape", "partial"])[c] for c in ("seen", "partial"))):
+            seen |= set(map(int, some))
+            part = json.loads(partial)
+            wrapper = part if wrapper is None else merged(wrapper, part)
+        return sorted(seen)[:3], wrapper
+
+    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, wrapper = one_of(pdf)
+        return pd.DataFrame({"host": pdf["host"][:1].tolist(), "shape": [pdf["shape"].min()], "seen": [seen], "partial": [json.dumps(wrapper)]})
 
     def of_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["hash", "html"])
-        return pd.DataFrame({"host": pdf["host"][:1], "wrapper": [json.dumps(infer(list(pdf["html"])))]})
+        seen, wrapper = one_of(pdf)
+        return pd.DataFrame({"host": pdf["host"][:1].tolist(), "wrapper": [json.dumps(marks(wrapper, len(seen) > 2))]})
 
-    return written(sample.groupBy("host").applyInPandas(of_host, "host string, wrapper string"), "html-wrappers")
+    all_ = pages.select(
+        host_of(url_col).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("hash"), F.col(html_col).alias("html")
+    ).where(F.length("html") > 0)
+    partial = all_.mapInPandas(folds, schema)
+    partial = partial.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("_part")).applyInPandas(of_part, schema)
+    return written(partial.groupBy("host").applyInPandas(of_host, "host string, wrapper string"), "html-wrappers")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:

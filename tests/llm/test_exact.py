@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import zstandard
 
-from hearthledger.llm import byte_bpe, jaccard_join, queries, quality_classifier, quality_rules, token_counts
+from hearthledger.llm import byte_bpe, html_extraction, jaccard_join, queries, quality_classifier, quality_rules, token_counts
 from hearthledger.llm.common import ngram_ids
 
 
@@ -191,3 +191,19 @@ def test_sketches_never_hide_a_link():
             low, total = jaccard_join.apart(jaccard_join.sketch(x), jaccard_join.sketch(y))
             assert total == len(x) + len(y)
             assert low <= len(np.setxor1d(x, y))
+
+
+def test_every_page_of_a_host_has_its_main_text(spark):
+    """More pages than a sample, with slugs and categories as words, and a second template without <article>."""
+    def word(i):
+        return "".join("abcdefghij"[int(d)] for d in f"{i:03}")
+
+    menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>same foot</footer>"
+    rows = [(i, f"http://h.example/{i}", f'<html><body class="category-{word(i)}">{menu}<div id="{word(i)}"><article id="post-{word(i)}"><h1>Title {i}</h1><p>Body of {i}.</p></article></div>{foot}</body></html>') for i in range(200)]
+    rows[:150] = [(i, f"http://h.example/{i}", f"<html><body>{menu}<div><article><h1>Title {i}</h1><p>Body of {i}.</p></article></div>{foot}</body></html>") for i in range(150)]
+    rows += [(i, f"http://h.example/{i}", f'<html><body class="{word(i)}">{menu}<div class="story"><p>Other story {i}, told at length.</p></div>{foot}</body></html>') for i in range(200, 204)]
+    want = {i: f"Title {i} Body of {i}." if i < 200 else f"Other story {i}, told at length." for i in range(204)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        got = html_extraction.extract_text(pages.repartition(n)).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
