@@ -275,13 +275,9 @@ def marks(wrapper: dict, several: bool) -> dict:
     def marked(w: dict, inside: bool, group: bool = False) -> dict:
         chosen = group or any(w is x for x in found)
         inside = inside or chosen
-        linked = inside and not chosen and w["r"] and total(w, "m") > 0 and total(w, "l") > 0.9 * total(w, "m") and w["s"].split(".")[0] in ("li", "ul", "ol")
-        keep = False if is_chrome(w["s"], inside) or linked else True if chosen else None
+        keep = False if is_chrome(w["s"], inside) else True if chosen else None
         return {"s": w["s"], "k": [marked(k, inside, chosen and w["s"] == "()") for k in w["k"]], "o": w["o"], "r": w["r"], "keep": keep}
 
-    def total(w: dict, key: str) -> int:
-        return w[key] + sum(total(k, key) for k in w["k"])
-
     return marked(wrapper, False)
 
 

@@ -110,6 +110,15 @@ def test_html_extraction(spark):
     assert html_extraction.extract_text(pages.limit(0)).count() == 0
 
 
+def test_lists_of_links_in_an_article_stay():
+    page = "<nav><a href=/>Home</a></nav><article><p>Text {0}.</p><ul>{1}</ul><ul class=related><li><a href=/r>see also</a></li></ul></article>"
+    linked = [page.format(i, "".join(f"<li><a href=/{i}{k}>Source {i}{k}</a></li>" for k in range(9))) for i in range(5)]
+    plain = page.format(9, "<li>one</li><li>two</li>")
+    wrapper = html_extraction.infer(linked)
+    assert html_extraction.extract(plain, wrapper) == "Text 9. one two"
+    assert html_extraction.extract(linked[1], wrapper) == "Text 1. " + " ".join(f"Source 1{k}" for k in range(9))
+
+
 def test_wrappers_are_union_free():
     one = "<ul><li>a</li><li>b</li></ul><h2>x</h2><p>1</p><h2>y</h2><p>2</p>"
     two = "<ul><li>c</li></ul><em>new</em><h2>z</h2><p>3</p>"
