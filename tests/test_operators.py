@@ -1,6 +1,7 @@
 """Small scenarios of the ledger's operators."""
 
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,32 @@ def test_pairing_takes_the_nearest(spark):
     assert values(ledger.paired(df), "transfer_id", "payment_id") == [(1, 3), (5, 2)]
 
 
+def _fixpoint(transfers, payments, days=5):
+    """Mutual choice, round by round, until no candidate is left."""
+    out = set()
+    while True:
+        near = [(t, p) for t in transfers for p in payments if t[1:3] == p[1:3] and abs((t[3] - p[3]).days) <= days]
+        if not near:
+            return out
+        gap = lambda x: abs((x[0][3] - x[1][3]).days)
+        mine = {t: min((x for x in near if x[0] == t), key=lambda x: (gap(x), x[1][3], x[1][0]))[1] for t, _ in near}
+        theirs = {p: min((x for x in near if x[1] == p), key=lambda x: (gap(x), x[0][3], x[0][0]))[0] for _, p in near}
+        both = {(t, p) for t, p in mine.items() if theirs[p] == t}
+        out |= {(t[0], p[0]) for t, p in both}
+        transfers, payments = [t for t in transfers if t not in {x[0] for x in both}], [p for p in payments if p not in {x[1] for x in both}]
+
+
+def test_pairing_leaves_no_candidate(spark):
+    """Many equal rows of one day, and chains of days, against the rounds done plainly."""
+    rng = random.Random(11)
+    rows = [(i, 1, 500, date(2026, 1, 10)) for i in range(40)]
+    rows += [(100 + i, rng.randint(2, 5), rng.choice((500, 700)), date(2026, 1, 1) + timedelta(rng.randint(0, 25))) for i in range(240)]
+    transfers, payments = [r for r in rows if r[0] % 2], [r for r in rows if not r[0] % 2]
+    data = [(i, u, d, "checking", "transfer", a) for i, u, a, d in transfers] + [(i, u, d, "credit", "payment", -a) for i, u, a, d in payments]
+    df = spark.createDataFrame([*data, data[0], (None, 1, date(2026, 1, 10), "credit", "payment", -500)], "id long, user_id long, posted_date date, account_type string, kind string, amount_minor long")
+    assert values(ledger.paired(df), "transfer_id", "payment_id") == sorted(_fixpoint(transfers, payments))
+
+
 @pytest.mark.parametrize("text, want", [("1,234.56", 123456), ("(12.00)", -1200), ("-5", -500), ("5.00-", -500), ("7.10 CR", -710), ("$0.99", 99), ("(-3.00)", -300), ("abc", None), ("", None), ("1.005", 101)])
 def test_money(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
