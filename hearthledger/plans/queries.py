@@ -247,6 +247,74 @@ def _(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", out.alias("redacted"))
 
 
+# The shapes of T.REDACTIONS and T.TRAILING_REFERENCE as RE2 has them.
+_SHAPES = [
+    ("[EMAIL]", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}.+\-]+@[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\-]+\.[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"), ("[AMOUNT]", r"\$[\s\x0B]?\d[\d,]*(?:\.\d+)?"), ("[CARD]", r"\d{12,19}"), ("[NUM]", r"\d{6,}"),
+    ("[PHONE]", r"\+?\d[\d\-\(\) ]{8,}\d"),
+]
+_REFERENCE = r"(?i)(?:^|[\s\x0B])(?:REF#|AUTH|TRACE|ID:|INV)[^\s\x0B]*[\s\x0B]*$"
+
+
+def _replaced(text: str, shapes: list[tuple[str, str]]) -> str:
+    for token, shape in shapes:
+        text = f"regexp_replace({text}, '{shape}', '{token}', 'g')"
+    return text
+
+
+def _redacted(text: str) -> str:
+    return f"rtrim({_replaced(text, [*_SHAPES, ('', _REFERENCE)])}, ' ')"
+
+
+def _squeezed(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[\s\x0B]+', ' ', 'g'), ' ')"
+
+
+@_query("redaction_full", f"SELECT doc_id, {_redacted('text')} AS redacted FROM documents")
+def _(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.redacted(F.col("text")).alias("redacted"))
+
+
+_COUNTS = [(token.strip("[]").lower(), f"CAST(len(regexp_extract_all({_replaced('text', _SHAPES[:i])}, '{shape}')) AS INTEGER)") for i, (token, shape) in enumerate(_SHAPES)]
+
+
+@_query("redaction_counts", f"SELECT doc_id, {', '.join(f'{c} AS {name}' for name, c in _COUNTS)} FROM documents")
+def _(s, d):
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.redaction_counts(F.col("text")).alias("_n"))
+    return rows.select("doc_id", *(F.col("_n")[name].alias(name) for name, _ in _COUNTS))
+
+
+# Descriptions as statements have them: a processor's prefix, a merchant with its store, and what must not be shown.
+_RAW = """SELECT l_orderkey AS statement_id, l_linenumber AS ordinal, concat(CASE l_orderkey % 4 WHEN 0 THEN 'SQ *' WHEN 1 THEN '  pos debit ' WHEN 2 THEN 'RECURRING PAYMENT ' ELSE '' END,
+  CASE l_suppkey % 5 WHEN 0 THEN 'Blue Cafe' WHEN 1 THEN 'CORNER  SHOP' WHEN 2 THEN 'A1' WHEN 3 THEN 'Store' ELSE 'Dry-Clean & Co' END, CASE l_linenumber WHEN 1 THEN ' #12' WHEN 2 THEN ' store 77' WHEN 3 THEN ' 415' WHEN 4 THEN ' no. 9' ELSE '' END,
+  CASE l_partkey % 6 WHEN 0 THEN ' +1 (555) 123-4567' WHEN 1 THEN ' a.b@shop.org' WHEN 2 THEN ' $12.50' WHEN 3 THEN ' 4111111111111111' WHEN 4 THEN ' 1234567' ELSE '' END,
+  CASE WHEN l_orderkey % 3 = 0 THEN ' REF#99A' WHEN l_orderkey % 3 = 1 THEN ' inv77 ' ELSE '' END) AS raw FROM {lineitem}"""
+_PREFIX = r"(?i)^[\s\x0B]*(?:" + "|".join(p.replace("*", r"\*") for p in sorted(T.PREFIXES, key=len, reverse=True)) + ")"
+_SPACED = _squeezed(r"regexp_replace(regexp_replace(raw, '[\s\x0B]', ' ', 'g'), '[\p{Cc}\p{Cf}]', '', 'g')")
+_DESCRIPTION = _squeezed(f"trim(regexp_replace({_redacted(_SPACED)}, '{_PREFIX}', ''), ' ')")
+
+
+@_query("description", f"SELECT statement_id, ordinal, {_DESCRIPTION} AS description FROM ({_RAW.format(lineitem='lineitem')})")
+def _(s, d):
+    rows = s.sql(_RAW, lineitem=s.read.parquet(f"{d}/lineitem.parquet"))
+    return rows.select("statement_id", "ordinal", T.description(F.col("raw")).alias("description"))
+
+
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_PLAIN = lambda text: _squeezed(rf"regexp_replace({text}, '[^{_WORD}\s\x0B]', ' ', 'g')")
+_TOKENS = _squeezed(r"regexp_replace(cut, '\[(?:email|amount|card|num|phone|name|redacted)\]', ' ', 'g')")
+
+
+# RE2 has no lookahead: that all is not digits is asked for by itself.
+@_query("merchant_key", rf"""WITH clean AS (SELECT statement_id, ordinal, lower({_DESCRIPTION}) AS low FROM ({_RAW.format(lineitem='lineitem')})),
+bare AS (SELECT *, {_squeezed(rf"regexp_replace({_squeezed(r"regexp_replace(low, '#[\s\x0B]*\d+', ' ', 'g')")}, '\b(?:store|no\.?)[\s\x0B]*#?\d+', ' ', 'g')")} AS key FROM clean),
+numbered AS (SELECT *, CASE WHEN regexp_matches(key, '[^\d\s]') AND regexp_matches(key, '^.*\S \d+$') AND regexp_matches(key, '(?:^|\s)\S*\D\S*\s') THEN regexp_replace(key, ' \d+$', '') ELSE key END AS cut FROM bare),
+short AS (SELECT *, {_PLAIN(_TOKENS)} AS short FROM numbered)
+SELECT statement_id, ordinal, CASE WHEN length(replace(short, ' ', '')) < 3 THEN {_PLAIN('low')} ELSE short END AS merchant_key FROM short""")
+def _(s, d):
+    rows = s.sql(_RAW, lineitem=s.read.parquet(f"{d}/lineitem.parquet"))
+    return rows.select("statement_id", "ordinal", T.merchant_key(T.description(F.col("raw"))).alias("merchant_key"))
+
+
 @_query("money_parsing", "SELECT id, amount_minor, CAST(amount_minor AS BIGINT) AS parsed FROM transactions", "transactions")
 def _(s, d):
     rows = view(s, d, "transactions").select("id", "amount_minor")

@@ -2,7 +2,9 @@
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
+from hearthledger.functions import text as T
 from hearthledger.plans import queries
 
 
@@ -22,6 +24,12 @@ def test_pairs_are_one_to_one(spark, sf_dir):
     assert got["transfer_id"].is_unique and got["payment_id"].is_unique
 
 
+def test_full_redaction_leaves_no_phone(spark, sf_dir):
+    out = queries.QUERIES["redaction_full"](spark, sf_dir)
+    assert out.where(F.col("redacted").rlike(T.REDACTIONS[4][1]) | F.col("redacted").rlike(T.TRAILING_REFERENCE)).count() == 0
+    assert queries.QUERIES["redaction_counts"](spark, sf_dir).agg(F.sum("phone")).first()[0] > 0
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
