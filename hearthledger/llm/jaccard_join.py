@@ -27,8 +27,9 @@ frequent anywhere come last. Counting reads all texts; the `HOT` most frequent o
 
 Defined cases: null texts and texts without words have no shingles, link with nothing and are
 their own component; fewer than `k` words are one shingle; equal sets form one class and meet as one;
-a null doc_id is in its class's component (null if the class has no other); rows of one doc_id are
-one document, taken to have one text. Texts are read whole; extra columns are not needed and left out.
+a null doc_id is a document of its own, in the component of what it links with (null if none of it has an id); rows of
+one doc_id with one set are one document, with different sets they are as many documents. Where there are such rows,
+every row is numbered and linked by its number. Texts are read whole; extra columns are not needed and left out.
 """
 
 from __future__ import annotations
@@ -346,10 +347,42 @@ def linked_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row."""
+    """(doc_id, n_shingles, class_id, component_id) of every row; also digest and first where ids do not tell documents apart.
+
+    digest: md5 of the text; first: whether a row is the one of its component that stays, of the smallest (doc_id nulls last, number).
+    """
     bounded_batches(docs.sparkSession)
     survey = surveyed(docs, id_col, text_col)
     documents = survey.where("shingle is null").select("doc_id", "n", "set")
+    by_id = documents.groupBy("doc_id").agg(F.min("set").alias("_lo"), F.max("set").alias("_hi"), F.count("set").alias("_sets"), F.count("*").alias("_rows"))
+    if not by_id.where("doc_id is null or _lo <> _hi or _sets not in (0, _rows)").isEmpty():
+        return _join_rows(docs, id_col, text_col, percent)
+    return _join(docs, survey, id_col, text_col, percent)
+
+
+def _join_rows(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """join by a number of each row, given when the rows are written."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = written(_join(rows, surveyed(rows, "_row", "text"), "_row", "text", percent), "jaccard-found")
+    ids = rows.select(F.col("_row").alias("doc_id"), "_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    # Rows of one id without words are one document too.
+    group = F.when((F.col("n_shingles") == 0) & F.col("_id").isNotNull(), F.concat(F.lit("id "), "_id")).otherwise(F.concat(F.lit("row "), "component_id"))
+    of_row = found.join(ids, "doc_id").withColumn("_group", group)
+    # A component's first row, and the smallest id of it and of each class.
+    key = F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")
+    firsts = of_row.groupBy("_group").agg(F.min(key).alias("_first"))
+    classes = of_row.groupBy("class_id").agg(F.min("_id").alias("_class"))
+    out = of_row.join(firsts, "_group").join(classes, "class_id")
+    return out.select(
+        F.col("_id").alias("doc_id"), "n_shingles", F.col("_class").alias("class_id"), F.col("_first._id").alias("component_id"),
+        "digest", (F.col("doc_id") == F.col("_first.doc_id")).alias("first"),
+    )
+
+
+def _join(docs: DataFrame, survey: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """join of documents that their ids tell apart."""
+    documents = survey.where("shingle is null").select("doc_id", "n", "set")
     full = documents.where("n > 0")
     classes = written(full.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n")), "jaccard-classes")
     members = members_of(docs, survey, classes, id_col, text_col, percent)
@@ -361,8 +394,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each component: that of the smallest id, once."""
+def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: that of the smallest id (a null one where no other has an id), once."""
+    if "first" in joined.columns:
+        first = joined.where("first").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("n_shingles") == 0).alias("_wordless"))
+        rows = docs.withColumn("_text", F.md5(F.col(text_col).cast("binary")))
+        rows = rows.join(written(first.distinct(), "jaccard-kept"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_digest")))
+        # Rows equal in id and text are copies; but without id and words each row is a document of its own.
+        own = F.col("_wordless") & F.col(id_col).isNull()
+        return rows.where(~own).dropDuplicates([id_col, "_text"]).unionByName(rows.where(own)).select(*docs.columns)
     kept = written(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("_rows")), "jaccard-kept")
     out = docs.join(kept.select(id_col), id_col, "left_semi")
     return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([id_col])

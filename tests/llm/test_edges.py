@@ -156,3 +156,18 @@ def test_jaccard_join(both):
     kept = [r["doc_id"] for r in jaccard_join.keep_one(docs, jaccard_join.join(docs)).collect()]
     assert sorted(kept) == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
     assert jaccard_join.join(none).count() == 0
+
+
+def test_rows_that_ids_do_not_tell_apart(spark, odd_docs):
+    """Null ids with texts of their own, near copies and no words; one id with different texts, and with copies."""
+    long = odd_docs.where("doc_id = 8").first()["text"].split()
+    text_of = lambda k, n: " ".join(f"{w}{k}" for w in long[k * n : k * n + n])
+    rows = [(1, text_of(1, 90)), (None, text_of(2, 90)), (None, text_of(2, 90) + " tail"), (None, text_of(1, 90)), (None, text_of(4, 90)), (None, ""), (None, ""), (None, None)]
+    rows += [(7, text_of(6, 90)), (7, text_of(8, 90)), (7, text_of(8, 90)), (8, ""), (8, None), (9, text_of(6, 90) + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    joined = jaccard_join.join(docs)
+    assert joined.count() == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in joined.collect()} == {(1, 1), (None, 1), (None, None), (7, 7), (8, 8), (9, 7)}
+    kept = [(r["doc_id"], (r["text"] or "").removesuffix(" tail")) for r in jaccard_join.keep_one(docs, joined).collect()]
+    want = [(1, text_of(1, 90)), (None, text_of(2, 90)), (None, text_of(4, 90)), (None, ""), (None, ""), (None, ""), (7, text_of(6, 90)), (7, text_of(8, 90)), (8, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
