@@ -223,6 +223,18 @@ def _(s, d):
     return fresh.where("occurrence_index = 0").select("account_id", "posted_date", "amount_minor", "description_raw")
 
 
+# Rows of few accounts, days and amounts, so that a statement has equal ones.
+_EQUAL = "SELECT l_orderkey AS statement_id, l_suppkey % 5 AS account_id, CAST(concat(year(l_shipdate), '-01-01') AS DATE) AS posted_date, CAST(l_quantity AS BIGINT) % 3 * 100 AS amount_minor, concat('LINE ', l_linestatus) AS description_raw, l_linenumber AS ordinal FROM {lineitem}"
+_NUMBERED = f"SELECT statement_id, account_id, posted_date, amount_minor, description_raw, CAST(row_number() OVER (PARTITION BY statement_id, account_id, posted_date, amount_minor, description_raw ORDER BY ordinal) - 1 AS INTEGER) AS occurrence_index FROM ({_EQUAL.format(lineitem='lineitem')})"
+
+
+@_query("dedupe_new_rows_numbered", f"WITH n AS ({_NUMBERED}) SELECT DISTINCT i.* EXCLUDE (statement_id) FROM n i ANTI JOIN (SELECT * FROM n WHERE statement_id % 10 = 0) e USING (account_id, posted_date, amount_minor, description_raw, occurrence_index) WHERE i.statement_id % 10 <> 0")
+def _(s, d):
+    rows = ledger.hashed(s.sql(_EQUAL, lineitem=s.read.parquet(f"{d}/lineitem.parquet")))
+    fresh = ledger.new_rows(rows.where("statement_id % 10 <> 0"), rows.where("statement_id % 10 = 0"))
+    return fresh.select("account_id", "posted_date", "amount_minor", "description_raw", "occurrence_index")
+
+
 _STATEMENTS = """SELECT o_orderkey AS statement_id, CASE WHEN o_orderkey % 3 = 0 THEN 'checking' ELSE 'credit' END AS account_type,
   CASE WHEN o_orderkey % 4 <> 0 THEN CAST(1000 AS BIGINT) END AS opening_balance_minor, CASE WHEN o_orderkey % 4 <> 0 THEN 1000 + o_orderkey % 7 * 100 END AS closing_balance_minor,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 9 * 100 END AS stated_total_minor FROM {orders}"""

@@ -30,6 +30,10 @@ def test_full_redaction_leaves_no_phone(spark, sf_dir):
     assert queries.QUERIES["redaction_counts"](spark, sf_dir).agg(F.sum("phone")).first()[0] > 0
 
 
+def test_later_equal_rows_are_new_rows_too(spark, sf_dir):
+    assert queries.QUERIES["dedupe_new_rows_numbered"](spark, sf_dir).where("occurrence_index > 0").count() > 0
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
