@@ -13,9 +13,13 @@ would be taken next, before the other positions of the present rank; such words
 arise) are encoded one by one instead. A word that is itself a token is that token.
 
 Encoding and decoding are narrow passes; ids travel as packed little-endian unsigned 32-bit
-integers (`unpacked` turns them into an array). The ranks file is read by the driver
+integers (`unpacked` turns them into an array). `round_trip` does both in one worker: two
+functions in a row would keep two Python workers on each core. The ranks file is read by the driver
 and broadcast; a ranks file is of a fixed size (50,256 entries here).
 
+Memory of a worker: the ranks and their pairs (about 40 MB), a cache of words of at most `CACHE_BYTES`,
+emptied when full and at the end of a task, and one block of documents, whose equal words are one object.
+
 Defined cases: null and empty texts have no ids and decode to empty bytes; no special
 tokens are known, their strings are ordinary text. Texts are encoded whole; repeated rows alike; extra columns
 pass through, those named like an output are replaced.
@@ -24,6 +28,7 @@ pass through, those named like an output are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -36,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-#: Words in a worker's cache at most; it is emptied when full.
-CACHE_WORDS = 250_000
+#: Bytes of words, ids and their dictionary entries in a worker's cache at most, about; it is emptied when full.
+CACHE_BYTES = 40_000_000
+#: Bytes of an entry beside those of the word and its ids: two objects' heads and a place in the dictionary.
+ENTRY_BYTES = 190
 #: Characters of the documents that make up one corpus, about; more is faster and takes more memory.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +84,24 @@ def splitter(pattern: str):
     return lambda text: anywhere(text) if beyond(text) else inside(text)
 
 
+class Decoder:
+    """All tokens' bytes in a row, and where each begins."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_rank = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_rank[rank] = token
+        self.blob = np.frombuffer(b"".join(by_rank), np.uint8)
+        self.size = np.array([len(t) for t in by_rank])
+        self.at = np.cumsum(self.size) - self.size
+
+    def decode(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, "<u4")
+        size = self.size[ids]
+        total = int(size.sum())
+        return self.blob[np.repeat(self.at[ids] - (np.cumsum(size) - size), size) + np.arange(total)].tobytes()
+
+
 class MergeReplay:
     """Encodes words of one vocabulary, in corpora."""
 
@@ -84,6 +109,8 @@ class MergeReplay:
         self.ranks = ranks
         self.split = splitter(pattern)
         self.packed: dict[str, bytes] = {}
+        self.cached = 0
+        self.decode = Decoder(ranks).decode
         # Two neighbours (a << 20 | b) -> the rank of both as one token; the same as sorted arrays.
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -94,13 +121,6 @@ class MergeReplay:
         self.keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
         self.values = np.array([self.pairs[k] for k in self.keys.tolist()])
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
-        # All tokens' bytes in a row, for decoding.
-        by_rank = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_rank[rank] = token
-        self.blob = np.frombuffer(b"".join(by_rank), np.uint8)
-        self.size = np.array([len(t) for t in by_rank])
-        self.at = np.cumsum(self.size) - self.size
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of pairs of neighbours as one token, or -1 (also next to a gap)."""
@@ -202,33 +222,41 @@ class MergeReplay:
 
     def encode(self, texts: list) -> list[bytes]:
         """Packed ids of each text of a block."""
-        split = [self.split(t) if isinstance(t, str) else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.packed}
-        if len(self.packed) + len(new) > CACHE_WORDS:
-            self.packed.clear()
-            new = {w for words in split for w in words}
+        same: dict[str, str] = {}
+        split = [[same.setdefault(w, w) for w in self.split(t)] if isinstance(t, str) else [] for t in texts]
+        new = {w for w in same if w not in self.packed}
+        size = sum(map(len, new)) * 3 + ENTRY_BYTES * len(new)
+        if self.cached + size > CACHE_BYTES:
+            self.forget()
+            new = set(same)
+        self.cached += size
         self.learn(new)
         get = self.packed.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def decode(self, packed: bytes) -> bytes:
-        ids = np.frombuffer(packed, "<u4")
-        size = self.size[ids]
-        total = int(size.sum())
-        return self.blob[np.repeat(self.at[ids] - (np.cumsum(size) - size), size) + np.arange(total)].tobytes()
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self.packed, self.cached = {}, 0
 
 
-_WORKER: dict[int, MergeReplay] = {}
+_WORKER: dict[str, MergeReplay | Decoder] = {}
 
 
-def _replayer(shared) -> MergeReplay:
-    """This worker's own, kept from task to task."""
-    ranks, pattern = shared.value
-    key = id(ranks)
-    if key not in _WORKER:
+def _kept(shared) -> MergeReplay | Decoder:
+    """This worker's own of the broadcast ranks and pattern, kept from task to task; a decoder where no pattern is given."""
+    ranks, pattern, name = shared.value
+    if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = MergeReplay(ranks, pattern)
-    return _WORKER[key]
+        _WORKER[name] = MergeReplay(ranks, pattern) if pattern else Decoder(ranks)
+    return _WORKER[name]
+
+
+def _shared(spark, ranks_path: str, pattern: str | None):
+    """Broadcast the ranks under a name that tells their content and the pattern."""
+    ranks = read_ranks(ranks_path)
+    content = b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1]))
+    name = hashlib.sha256(content + str(pattern).encode()).hexdigest()
+    return spark.sparkContext.broadcast((ranks, pattern, name))
 
 
 def in_parts(values: list, sizes: list[int]) -> Iterator[pd.Series]:
@@ -238,44 +266,71 @@ def in_parts(values: list, sizes: list[int]) -> Iterator[pd.Series]:
         at += n
 
 
+def _blocks(parts: Iterator[pd.Series], replay: MergeReplay) -> Iterator[pd.Series]:
+    """The packed ids of each part, worked out by block."""
+    block: list = []
+    sizes: list[int] = []
+    chars = 0
+    for part in parts:
+        block += list(part)
+        sizes.append(len(part))
+        chars += sum(len(t) for t in part if isinstance(t, str))
+        if chars >= BLOCK_CHARS:
+            yield from in_parts(replay.encode(block), sizes)
+            block, sizes, chars = [], [], 0
+    yield from in_parts(replay.encode(block), sizes)
+    replay.forget()
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens and ids (packed)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    shared = _shared(spark, ranks_path, pattern)
 
     @F.pandas_udf("binary")
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        replay = _replayer(shared)
-        block: list = []
-        sizes: list[int] = []
-        for part in texts:
-            block += list(part)
-            sizes.append(len(part))
-            if sum(len(t) for t in block if t) >= BLOCK_CHARS:
-                yield from in_parts(replay.encode(block), sizes)
-                block, sizes = [], []
-        yield from in_parts(replay.encode(block), sizes)
+        yield from _blocks(texts, _kept(shared))
 
     out = docs.drop("ids", "n_tokens").withColumn("ids", encoded(F.col(text_col)))
-    return out.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))
+    return out.withColumn("n_tokens", _n_tokens())
+
+
+def _n_tokens() -> Column:
+    return F.expr("octet_length(ids) div 4").cast("long")
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """docs with the bytes of packed ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((read_ranks(ranks_path), ""))
+    shared = _shared(spark, ranks_path, None)
 
     @F.pandas_udf("binary")
     def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        replay = _replayer(shared)
+        decoder = _kept(shared)
         for part in ids:
-            yield pd.Series([replay.decode(x) for x in part], dtype=object)
+            yield pd.Series([decoder.decode(x) if x is not None else None for x in part], dtype=object)
 
     return docs.withColumn(into, decoded(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens, ids (packed) and decoded, the bytes that the ids stand for."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = _shared(spark, ranks_path, pattern)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        replay = _kept(shared)
+        for ids in _blocks(texts, replay):
+            yield pd.DataFrame({"ids": ids, "decoded": pd.Series([replay.decode(x) for x in ids], dtype=object)})
+
+    out = docs.drop("ids", "n_tokens", "decoded").withColumn("_both", both(F.col(text_col)))
+    return out.withColumn("ids", F.col("_both.ids")).withColumn("decoded", F.col("_both.decoded")).drop("_both").withColumn("n_tokens", _n_tokens())
+
+
 def unpacked(ids_col: str = "ids") -> Column:
     """Packed ids as an array of ints."""
 
@@ -291,7 +346,6 @@ def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
-    return both.select(
+    return round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a text column that go to a Python worker at once; bounds memory with very long texts.
+#: Rows of a text column that go to a Python worker at once, and their bytes (a longer text goes alone).
 TEXT_ROWS_PER_BATCH = 500
+TEXT_BYTES_PER_BATCH = 16 << 20
 
 #: The white space of the word rule `[^\x20\x09-\x0D]+`.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -34,17 +35,26 @@ def shipped(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Before Python work on texts: ship the package and lower the Arrow batch size to `rows`."""
+    """Before Python work on texts: ship the package and lower the session's Arrow batches to `rows` and to TEXT_BYTES_PER_BATCH.
+
+    The limits stay lowered, as the work is lazy; a session whose limits are lower keeps its own.
+    """
     shipped(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key, "1g").rstrip("Bb")
+    if not (found.isdigit() and 0 < int(found) <= TEXT_BYTES_PER_BATCH):
+        spark.conf.set(key, str(TEXT_BYTES_PER_BATCH))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only on one machine whose session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="hearthledger-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -47,6 +47,22 @@ def test_merge_replay_is_tiktoken(texts):
     assert [mine.one_word(w) for w in words[:400]] == [np.frombuffer(x, "<u4").tolist() for x in mine.replay(words[:400])]
 
 
+def test_op6_digests_are_those_of_tiktoken(spark, sf_dir, duck):
+    import hashlib
+
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = dict(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall())
+    got = queries.QUERIES["op6_byte_bpe"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = theirs.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_transducers_count_as_the_library(texts):
     import json
 
