@@ -41,8 +41,7 @@ def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
-    return both.select(
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "lang", "source", "n_tokens", "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
