@@ -13,7 +13,8 @@ its host's wrapper finds no main part is read with the wrapper of that page alon
 A host's wrapper comes from all of its pages: each task folds its pages into one partial wrapper for each structure,
 partial wrappers are merged in `SALTS` parts of a host and then for the host, in the order of the structures, so that it
 does not matter how pages are dealt out. No html is shuffled. More than `CHILDREN` different parts of one element become one
-repeated group without an order. All pages are extracted, whole. Wrappers are broadcast while
+repeated group without an order. Elements deeper than `DEPTH` become siblings at that depth, as in browsers (which stop at 512), so that no
+page is too deep to be read; their texts stay where they are. All pages are extracted, whole. Wrappers are broadcast while
 their number and size stay below `MAX_HOSTS` and `MAX_BYTES`; beyond that they are joined by host with a salt, so that a host
 of a third of all pages is shared out.
 
@@ -29,6 +30,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +43,8 @@ from .url_filters import host_of
 
 #: Parts of one element, beyond which their order is given up.
 CHILDREN = 64
+#: Levels of a page's tree; what is deeper stands side by side at the last one.
+DEPTH = 150
 #: Parts of the wrappers that a task keeps before it passes them on.
 PARTS = 200_000
 MAX_HOSTS = 20_000
@@ -85,15 +89,33 @@ def signature(tag: str, attributes: str) -> str:
 
 
 def parse(html: str) -> Element:
-    """The nested elements of a page; texts are str, with references decoded."""
+    """The nested elements of a page, to `DEPTH` levels; texts are str, with references decoded."""
     root = Element("", "")
-    open_ = [root]
+    open_: list[tuple[str, Element]] = [("", root)]
+    how_many: Counter = Counter()
     at, end = 0, len(html)
+
+    def close(k: int) -> None:
+        """The k-th open element ends, and those inside it."""
+        how_many.subtract(tag for tag, _ in open_[k:])
+        del open_[k:]
+
+    def under() -> Element:
+        """Where the next text belongs: the innermost open element, or beyond DEPTH a part of it that follows what came last."""
+        tag, top = open_[-1]
+        if len(open_) > DEPTH + 1:
+            level = open_[DEPTH][1].kids
+            if not level or level[-1] is not top:
+                top = Element(top.tag, top.sign)
+                open_[-1] = tag, top
+                level.append(top)
+        return top
+
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else end]
         if text:
-            open_[-1].kids.append(entities.unescape(text))
+            under().kids.append(entities.unescape(text))
         if not m:
             break
         at = m.end()
@@ -101,26 +123,31 @@ def parse(html: str) -> Element:
         if not tag:
             continue
         if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
+            for k in range(len(open_) - 1, 0, -1) if how_many[tag] else ():
+                if open_[k][0] == tag:
+                    close(k)
                     break
-                if open_[k].tag in WALLS and tag not in WALLS:
+                if open_[k][0] in WALLS and tag not in WALLS:
                     break
             continue
         ended = ENDS.get(tag, set()) | (set() if tag in INLINE or tag in VOID else {"p"})
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in ended:
-                del open_[k:]
-            elif open_[k].tag in WALLS:
-                break
+        if any(how_many[t] for t in ended):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k][0] in ended:
+                    close(k)
+                elif open_[k][0] in WALLS:
+                    break
         element = Element(tag, signature(tag, attributes))
-        open_[-1].kids.append(element)
+        around = open_[-1][1]
+        if len(open_) > DEPTH + 1 and (is_chrome(around.sign, True) or around.tag in MAIN) and not is_chrome(element.sign, True):
+            element = Element(around.tag, around.sign)  # what it would have inherited
+        open_[min(len(open_) - 1, DEPTH)][1].kids.append(element)
         if tag in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
         elif tag not in VOID:
-            open_.append(element)
+            open_.append((tag, element))
+            how_many[tag] += 1
     return root
 
 
@@ -145,10 +172,10 @@ def flat(kids: list[dict]) -> list[dict]:
 
 
 def bounded(kids: list[dict]) -> list[dict]:
-    """Too many parts become one repeated group of optional ones: by signature, and by name and chrome words if these are too many."""
+    """Too many parts become one repeated group of optional ones: by signature, by name and chrome words if these are too many, then by whether they are chrome."""
     if len(kids) <= CHILDREN:
         return kids
-    for key in (lambda s: s, lambda s: (s.split(".")[0], tuple(w for w in s.split(".")[1:] if w in CHROME_WORDS))):
+    for key in (lambda s: s, lambda s: (s.split(".")[0], tuple(w for w in s.split(".")[1:] if w in CHROME_WORDS)), lambda s: is_chrome(s, False)):
         found: dict = {}
         for k in flat(kids):
             at = key(k["s"])

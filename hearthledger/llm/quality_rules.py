@@ -36,6 +36,8 @@ SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "ratio double, n_chunks long, n_bad_chunks long, base_failed boolean, kept boolean"
 )
+#: Columns that come after the others.
+MORE = ("ratio", "n_chunks", "n_bad_chunks")
 
 
 def in_band(size: int, ratio: float, bands: tuple) -> bool:
@@ -90,7 +92,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame([judge(x, packer) for x in part], columns=names)
 
     out = docs.withColumn("_judged", judged(F.col(text_col))).drop(*[c for c in docs.columns if c in names])
-    return out.select("*", "_judged.*").drop("_judged")
+    more = [n for n in names if n not in MORE]
+    return out.select("*", *(F.col(f"_judged.{n}") for n in [*more, *MORE])).drop("_judged")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -171,3 +171,102 @@ def test_rows_that_ids_do_not_tell_apart(spark, odd_docs):
     kept = [(r["doc_id"], (r["text"] or "").removesuffix(" tail")) for r in jaccard_join.keep_one(docs, joined).collect()]
     want = [(1, text_of(1, 90)), (None, text_of(2, 90)), (None, text_of(4, 90)), (None, ""), (None, ""), (None, ""), (7, text_of(6, 90)), (7, text_of(8, 90)), (8, "")]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_html_of_any_depth_and_width():
+    import time
+
+    deep = "<html><body><nav>" + "<div>" * 60_000 + "menu" + "</div>" * 60_000 + "</nav><article>" + "<div>a <span>" * 30_000 + "core" + "</span> z</div>" * 30_000 + "</article></body></html>"
+    spans = "<article><p>" + "<b><center>" * 20_000 + "inner" + "</p>outer</article>"
+    wide = "<html><body>" + "".join(f"<x{i} class='w{i}'>t{i}</x{i}>" for i in range(20_000)) + "<article><p>core</p></article></body></html>"
+    start = time.time()
+    for pages, want in (([deep, deep.replace("core", "kern")], "a " * 30_000 + "core" + " z" * 30_000), ([spans, spans], "innerouter"), ([wide, wide.replace("t1", "u1")], "core")):
+        wrapper = html_extraction.infer(pages)
+        got = html_extraction.extract(pages[0], wrapper)
+        assert "menu" not in got and got.replace(" ", "") == want.replace(" ", "")
+        assert html_extraction.extract(pages[0], html_extraction.infer([])).replace(" ", "") == want.replace(" ", "")
+    assert time.time() - start < 120
+
+
+def test_language_blocks_count_each_ngram_once(monkeypatch):
+    import numpy as np
+
+    text = "".join(chr(0x61 + (i * i + i // 7) % 26) if i % 6 else " " for i in range(5_000)) + "\U00032100 \U0002070e"
+    whole = np.bincount(np.concatenate(list(language_id.bucket_blocks(text, 1 << 15))), minlength=1 << 15)
+    monkeypatch.setattr(language_id, "BLOCK", 64)
+    assert (np.bincount(np.concatenate(list(language_id.bucket_blocks(text, 1 << 15))), minlength=1 << 15) == whole).all()
+    assert language_id._normalised("\U000323af\U00020000").any()  # letters of any plane
+
+
+def test_language_id_is_plain_bayes_in_groups_of_any_size(spark, odd_docs):
+    import math
+
+    import numpy as np
+
+    rows = odd_docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).collect()
+    made = spark.createDataFrame([(r["doc_id"] * 10 + k, r["text"][k * 9 :], f"{r['lang']}{k % 3}") for r in rows for k in range(3)], "doc_id long, text string, lang string")
+    model = language_id.train(made)
+    # Plainly: n-grams one by one, over the letters of a text and single spaces.
+    grams = {}
+    for r in made.collect():
+        for found in plain_grams(r["text"]):
+            b = int(language_id._buckets(np.array(found, np.uint32), 1 << 15)[-1])
+            grams.setdefault(r["lang"], {}).setdefault(b, 0)
+            grams[r["lang"]][b] += 1
+    langs = sorted(r["lang"] for r in made.select("lang").distinct().collect())
+    n = {x: made.where(f"lang = '{x}'").count() for x in langs}
+    want = {}
+    for r in made.collect():
+        found = [int(language_id._buckets(np.array(g, np.uint32), 1 << 15)[-1]) for g in plain_grams(r["text"])]
+        if found:
+            total = [math.log(n[x] / sum(n.values())) + sum(math.log((grams.get(x, {}).get(b, 0) + 0.5) / (sum(grams.get(x, {}).values()) + 0.5 * (1 << 15))) for b in found) for x in langs]
+            best = max(range(len(langs)), key=lambda i: total[i])
+            want[r["doc_id"]] = (langs[best], 1 / sum(math.exp(t - total[best]) for t in total))
+        else:
+            want[r["doc_id"]] = ("und", 0.0)
+    for group in (500, 1, 2):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(made, model, group=group).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-2 for k in want)
+
+
+def plain_grams(text):
+    out, last = [], 0
+    codes = [0]
+    for ch in text:
+        c = ord(ch.lower()[0]) if ch.isalpha() else 0
+        if c or last:
+            codes.append(c)
+        last = c
+    if last:
+        codes.append(0)
+    for n in (1, 2, 3):
+        out += [codes[i : i + n] for i in range(len(codes) - n + 1) if n > 1 or codes[i]]
+    return out
+
+
+def test_shards_do_not_depend_on_partitions_and_keep_groups(spark):
+    rows = [(i, f"text {i * i} " + "x" * (i * 37 % 400)) for i in range(3_000)]
+    rows += [(10_000 + i, "a group " * 40) for i in range(60)] + [(20_000 + i, "larger than a shard " * 5) for i in range(3_000)] + [(30_000 + i, None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [sorted(map(tuple, sharding.shard(docs.repartition(n), 12).select("doc_id", "size", "text_crc32", "shard", "slot").collect())) for n in (1, 7)]
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    shards, load = {}, {}
+    for doc_id, size, crc, shard, slot in out[0]:
+        shards.setdefault(crc, {}).setdefault(shard, []).append(size)
+        load[shard] = load.get(shard, 0) + size
+    mean = sum(load.values()) / 12
+    assert sorted(load) == list(range(12)) and all(abs(x - mean) < 0.03 * mean for x in load.values())
+    for parts in shards.values():
+        assert len(parts) == 1 or sum(map(sum, parts.values())) > mean
+    for k in range(12):
+        assert sorted(r[4] for r in out[0] if r[3] == k) == list(range(sum(r[3] == k for r in out[0])))
+
+
+def test_shard_sizes_and_checksums_are_those_of_the_texts(spark, sf_dir):
+    import zlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = sharding.op5_sharding(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {k: (len(t) + 16, zlib.crc32(t)) for k, t in texts.items()}
+    assert all(0 <= r["shard"] < 40 for r in got)
