@@ -403,9 +403,11 @@ def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_co
         # Rows equal in id and text are copies; but without id and words each row is a document of its own.
         own = F.col("_wordless") & F.col(id_col).isNull()
         return rows.where(~own).dropDuplicates([id_col, "_text"]).unionByName(rows.where(own)).select(*docs.columns)
-    kept = written(joined.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("_rows")), "jaccard-kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi")
-    return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
+    # What goes is fewer than what stays, so texts stay where they are as long as its ids can be broadcast.
+    found = written(joined.groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows")), "jaccard-found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    out = docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone, id_col, "left_anti")
+    return out if found.where("doc_id = component_id and _rows > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
