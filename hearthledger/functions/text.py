@@ -6,10 +6,13 @@ All are column expressions. `(?U)` makes Java's \w and \b know Unicode.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearthledger.functions.columns import let
+
 # Prefixes that processors put before a merchant's name.
 PREFIXES = (
     "CHECKCARD", "DEBIT CARD PURCHASE", "PAYPAL *", "POS DEBIT", "PURCHASE AUTHORIZED ON", "RECURRING PAYMENT", "SP *", "SQ *", "TST*",
@@ -22,6 +25,7 @@ REDACTIONS = (
     ("[NUM]", r"\d{6,}"),
     ("[PHONE]", r"\+?\d[\d\-\(\) ]{8,}\d"),
 )
+# Fixed value: a reference at the end of a description.
 TRAILING_REFERENCE = r"(?i)(?:^|\s)(?:REF#|AUTH|TRACE|ID:|INV)\S*\s*$"
 
 
@@ -75,27 +79,78 @@ def merchant_key(clean: Column) -> Column:
     return F.when(F.length(F.replace(short, F.lit(" "), F.lit(""))) < 3, plain(lower)).otherwise(short)
 
 
-def kind(hint: Column, clean: Column, amount: Column, account_type: Column) -> Column:
-    """The kind of a row: the hint if it has one, else by words, else by sign."""
+# Words that decide the kind of a row.
+PAYS = r"PAYMENT|AUTOPAY|PMT"
+PAYS_CARD = r"AUTOPAY|CRD\s*PMT|CREDIT\s*CARD\s*PAYMENT|EPAY|PAYMENT|PMT"
+#: How far an issuer's name may begin from the word of a payment, in characters, on either side.
+NEAR_PAYMENT = 20
+
+
+def kind(hint: Column, clean: Column, amount: Column, account_type: Column, issuer_terms: Sequence[str] = ()) -> Column:
+    """The kind of a row: the hint if it has one, else by words, else by sign.
+
+    On a checking or savings account a payment of a card is a transfer, before anything else is asked: the card's own statement has
+    the spending.
+    """
     says = lambda words: clean.rlike(rf"(?iU)\b(?:{words})\b")
-    pays = says("payment|pymt|pmt|autopay|thank you")
+    to_card = says(PAYS_CARD)
+    if terms := [t.strip() for t in issuer_terms if t.strip()]:
+        names = "|".join(f"\\Q{t}\\E" for t in terms)
+        word, gap = r"\b(?:PAYMENT|PMT)\b", f".{{0,{NEAR_PAYMENT}}}"
+        to_card = to_card | clean.rlike(f"(?iUs)(?=(?:{names})){gap}{word}") | clean.rlike(f"(?iUs)(?={word}){gap}(?:{names})")
     return (
-        F.when(hint == "payment_or_refund", F.when(pays, "payment").otherwise("refund"))
+        F.when(hint == "payment_or_refund", F.when(says(PAYS), "payment").otherwise("refund"))
         .when(hint.isNotNull(), hint)
-        .when(account_type.isin("checking", "savings") & says("card payment|credit crd|epay|card autopay"), "transfer")
-        .when(says("interest"), "interest")
-        .when(says("fee|fees|service charge"), "fee")
-        .when(says("transfer|zelle|wire"), "transfer")
-        .when(pays, "payment")
+        .when(account_type.isin("checking", "savings") & to_card, "transfer")
+        .when(says("INTEREST"), "interest")
+        .when(says("FEE"), "fee")
+        .when(says("TRANSFER"), "transfer")
+        .when(says(PAYS), "payment")
         .otherwise(F.when(amount >= 0, "purchase").otherwise("refund"))
     )
 
 
+def is_spend(kind_col: Column) -> Column:
+    return kind_col.isin("purchase", "fee", "interest")
+
+
+#: An amount as printed: a sign, `(` or `$` before it, `)`, `-` or CR after it; thousands in threes or not at all, two decimals at most.
+MONEY = r"(?i)^\s*(\(?)\s*(-?)\s*\$?\s*(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d{1,2}))?\s*(\)?)\s*(-?)\s*((?:CR)?)\s*$"
+
+
 def money_minor(text: Column) -> Column:
-    """`1,234.56`, `-x`, `(x)`, `x-`, `x CR`, `$x` to minor units; null for anything else. Halves round up."""
-    bare = F.trim(text)
-    shape = r"^(?:\(\s*-?\$?\s*[\d,]*\d(?:\.\d+)?\s*\)|-?\s*\$?\s*-?\s*[\d,]*\d(?:\.\d+)?\s*(?:-|CR)?)$"
-    size = F.regexp_replace(bare, r"[^\d.]", "").try_cast("decimal(18,4)")
-    value = F.round(size * 100, 0).try_cast("bigint")
-    negative = bare.contains("-") | bare.startswith("(") | bare.endswith("CR")
-    return F.when(bare.rlike(shape), F.when(negative, -value).otherwise(value))
+    """`1,234.56`, `-x`, `(x)`, `x-`, `x CR`, `$x` to minor units; null for anything else."""
+
+    def read(t: Column) -> Column:
+        part = lambda k: F.regexp_extract(t, MONEY, k)
+        value = F.concat(F.replace(part(3), F.lit(","), F.lit("")), F.rpad(part(4), 2, "0")).try_cast("bigint")
+        negative = (part(1) != "") | (part(2) != "") | (part(6) != "") | (part(7) != "")
+        balanced = part(1) == F.replace(part(5), F.lit(")"), F.lit("("))
+        return F.when(t.rlike(MONEY) & balanced, F.when(negative, -value).otherwise(value))
+
+    return let(text, read)
+
+
+def money_magnitude(text: Column) -> Column:
+    """money_minor without its sign: forms print withheld tax with or without one."""
+    return F.abs(money_minor(text))
+
+
+def decimal_minor(text: Column) -> Column:
+    """A decimal of a model's answer to minor units: `$`, commas, blanks and outer parentheses do not count; null for no finite number."""
+    bare = F.regexp_replace(F.trim(text), r"[$,\s()]", "")
+    return F.round(F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), bare).try_cast("decimal(30,6)") * 100, 0).try_cast("bigint")
+
+
+def money_text(minor: Column) -> Column:
+    """`-$1,234.56`."""
+    size = F.abs(minor)
+    cents = size % 100
+    return F.concat(F.when(minor < 0, "-").otherwise(""), F.lit("$"), F.format_number(((size - cents) / 100).cast("bigint"), 0), F.lit("."), F.lpad(cents.cast("string"), 2, "0"))
+
+
+def money_plain(minor: Column) -> Column:
+    """`-1234.56`."""
+    size = F.abs(minor)
+    cents = size % 100
+    return F.concat(F.when(minor < 0, "-").otherwise(""), ((size - cents) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(cents.cast("string"), 2, "0"))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from hearthledger.functions import text as T
 from hearthledger.operators import classify, ledger, networth, spend, tax
 from hearthledger.operators.spend import SpendQuery
+from hearthledger.plans.registry import QUERIES, SQL
+from hearthledger.plans.registry import query as _query
 from hearthledger.sources.fixtures import view, with_views
 
-QUERIES: dict = {}
-SQL: dict = {}
-
 _PERIODS = {
     "day": "strftime(posted_date, '%Y-%m-%d')", "week": "strftime(posted_date, '%Y-W%W')", "month": "strftime(posted_date, '%Y-%m')",
     "quarter": "concat(year(posted_date), '-Q', quarter(posted_date))", "year": "strftime(posted_date, '%Y')", "all": "'all'",
@@ -26,18 +25,9 @@ _SUMS = (
 _SPEND = "kind IN ('purchase', 'fee', 'interest', 'refund') AND currency = 'USD'"
 
 
-def _query(name: str, sql: str | None = None, *views: str):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
-
 def _spend(spark, d, q: SpendQuery):
-    return spend.spend(view(spark, d, "transactions"), view(spark, d, "categories"), view(spark, d, "subcategories"), q)
+    rows = "transactions" if "merchant" in q.group_by or q.search is not None else "transactions_core"
+    return spend.spend(view(spark, d, rows), view(spark, d, "categories"), view(spark, d, "subcategories"), q)
 
 
 def _add_grain(grain: str) -> None:
@@ -367,3 +357,6 @@ def _(s, d):
 @_query("evaluation_accuracy", "SELECT quality AS label, count(*) AS total, CAST(sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM labels GROUP BY ALL")
 def _(s, d):
     return classify.accuracy(s.read.parquet(f"{d}/labels.parquet").select(F.col("quality").alias("label"), F.col("toxic").alias("predicted")))
+
+
+from hearthledger.plans import changes, lists, statements, taxes, texts  # noqa: E402, F401 - they enter their queries

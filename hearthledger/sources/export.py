@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of an export, in order.
 COLUMNS = (
-    "id", "posted_date", "user_id", "account_id", "description_clean", "merchant_key", "merchant_canonical", "amount_minor", "currency", "kind",
-    "category_id", "subcategory_id", "needs_review",
+    "id", "statement_id", "account_id", "posted_date", "transaction_date", "description_raw", "description_clean", "amount_minor", "currency", "kind",
+    "category_key", "subcategory_key", "merchant_key", "notes", "needs_review",
 )
 
 
+def exported(txns: DataFrame, user_id: int | None = None) -> DataFrame:
+    """The columns of an export that the rows have, the oldest first."""
+    rows = txns if user_id is None else txns.where(F.col("user_id") == user_id)
+    return rows.select(*[c for c in COLUMNS if c in txns.columns]).orderBy("posted_date", "id")
+
+
 def export(txns: DataFrame, path: str, fmt: str = "csv", user_id: int | None = None) -> None:
     if fmt not in ("csv", "json"):
         raise ValueError("csv or json")
-    rows = txns if user_id is None else txns.where(F.col("user_id") == user_id)
-    rows = rows.select(*[c for c in COLUMNS if c in txns.columns]).orderBy("posted_date", "id")
-    writer = rows.write.mode("overwrite")
+    writer = exported(txns, user_id).write.mode("overwrite")
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.json(path)
 
 

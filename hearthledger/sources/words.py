@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthledger.functions.columns import let
 from hearthledger.functions.text import money_minor
 
 
@@ -23,27 +23,139 @@ def page_numbers(spec: str, limit: int = 100_000) -> list[int]:
     return sorted(out)
 
 
+PAGE, ROW = ["file_sha256", "page_number"], ["file_sha256", "page_number", "row_number"]
+#: Points between two words that may part columns, and between two such gaps of one column.
+MIN_GAP = 8.0
+
+
 def rows_of(words: DataFrame) -> DataFrame:
-    """(file_sha256, page_number, row_number, text, words): words cluster by their distance to a row's first word.
+    """(file_sha256, page_number, row_number, words, text): words of a page by rows, both from the top and from the left.
 
-    A page is a bounded group: it holds what fits on a sheet.
+    A word belongs to the row whose first word it is no further from than half the page's median height of words. A
+    page is a bounded group: it holds what fits on a sheet.
     """
+    height = F.col("bottom") - F.col("top")
+    word = F.struct("top", "x0", "x1", "text")
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("_w"), (F.coalesce(F.median(F.when(height > 0, height)), F.lit(10.0)) / 2).alias("_near"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("rows"))
+
+    def placed(acc: Column, w: Column) -> Column:
+        same = acc["anchor"].isNotNull() & (F.abs(w["top"] - acc["anchor"]) <= F.col("_near"))
+        n = F.when(same, acc["n"]).otherwise(acc["n"] + 1)
+        return F.struct(F.when(same, acc["anchor"]).otherwise(w["top"]).alias("anchor"), n.alias("n"), F.concat(acc["rows"], F.array(n)).alias("rows"))
+
+    numbered = pages.select(*PAGE, F.arrays_zip("_w", F.aggregate("_w", start, placed)["rows"].alias("_n")).alias("_z"))
+    each = numbered.select(*PAGE, F.explode("_z").alias("_z")).select(*PAGE, F.col("_z._n").alias("row_number"), F.struct("_z._w.x0", "_z._w.x1", "_z._w.text").alias("_w"))
+    out = each.groupBy(*ROW).agg(F.array_sort(F.collect_list("_w")).alias("words"))
+    return out.withColumn("text", joined(F.col("words")))
+
+
+def joined(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
+def select_pages(words: DataFrame, pages: list[int]) -> DataFrame:
+    """The words of these pages; of a file that has none of them, all."""
+    has = F.max(F.col("page_number").isin(pages).cast("int")).over(Window.partitionBy("file_sha256"))
+    return words.withColumn("_has", has).where(F.col("page_number").isin(pages) | (F.col("_has") == 0)).drop("_has") if pages else words
+
+
+def has_text_layer(words: DataFrame, least: int = 50) -> DataFrame:
+    """(file_sha256, has_text_layer): whether half the pages have this many characters or more."""
+    chars = words.groupBy(*PAGE).agg(F.sum(F.length("text") + 1).alias("_c"))
+    return chars.groupBy("file_sha256").agg((F.median("_c") >= least).alias("has_text_layer"))
+
+
+def content_hash(files: DataFrame) -> DataFrame:
+    """(path, file_sha256) of a binaryFile scan."""
+    return files.select("path", F.sha2("content", 256).alias("file_sha256"))
+
+
+def bands_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, bands): for each key the columns (x0, x1) that recurring gaps between words part, from the left."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.struct(F.col("words")[i - 1]["x1"].alias("a"), F.get("words", i)["x0"].alias("b")))
+    gaps = F.transform(F.filter(pairs, lambda p: p["b"] - p["a"] >= MIN_GAP), lambda p: (p["a"] + p["b"]) / 2)
+    extent = rows.groupBy(*key).agg(F.min(F.col("words")[0]["x0"]).alias("_low"), F.max(F.array_max(F.transform("words", lambda w: w["x1"]))).alias("_high"), F.count("*").alias("_rows"))
+    w = Window.partitionBy(*key).orderBy("_x")
+    mids = rows.select(*key, F.explode(gaps).alias("_x")).withColumn("_new", (F.col("_x") - F.lag("_x").over(w) > MIN_GAP).cast("int"))
+    mids = mids.withColumn("_c", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    clusters = mids.groupBy(*key, "_c").agg(F.avg("_x").alias("_mid"), F.count("*").alias("_n"))
+    enough = F.greatest(F.lit(1), F.bround(F.col("_rows") * 0.3))
+    cuts = clusters.join(extent, key).where(F.col("_n") >= enough).groupBy(*key).agg(F.array_sort(F.collect_list("_mid")).alias("_cuts"))
+    both = extent.join(cuts, key, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
+    edges = F.concat(F.array("_low"), F.col("_cuts"), F.array(F.col("_high") + 1))
+    return both.withColumn("_e", edges).select(*key, F.transform(F.sequence(F.lit(1), F.size("_e") - 1), lambda i: F.struct(F.col("_e")[i - 1].alias("x0"), F.col("_e")[i].alias("x1"))).alias("bands"))
+
+
+def header_starts(words: Column) -> Column:
+    """Where the columns begin that one row of names tells: at its first word and in the middle of each wide gap."""
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"], kind="stable")
-        tolerance = (pdf["bottom"] - pdf["top"]).median() / 2
-        number, anchor, numbers = -1, None, []
-        for top in pdf["top"]:
-            if anchor is None or abs(top - anchor) > tolerance:
-                number, anchor = number + 1, top
-            numbers.append(number)
-        return pdf.assign(row_number=numbers)[["file_sha256", "page_number", "row_number", "text", "x0", "x1"]]
-
-    schema = "file_sha256 string, page_number int, row_number int, text string, x0 double, x1 double"
-    placed = words.groupBy("file_sha256", "page_number").applyInPandas(cluster, schema)
-    sorted_words = F.array_sort(F.collect_list(F.struct("x0", "x1", "text")))
-    out = placed.groupBy("file_sha256", "page_number", "row_number").agg(sorted_words.alias("words"))
-    return out.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    def middles(ws: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 1, F.lit(1))), lambda i: F.struct(ws[i - 1]["x1"].alias("a"), F.get(ws, i)["x0"].alias("b")))
+        return F.concat(F.array(ws[0]["x0"]), F.transform(F.filter(pairs, lambda p: p["b"] - p["a"] >= MIN_GAP), lambda p: (p["a"] + p["b"]) / 2))
+
+    return F.when(F.size(words) > 0, let(words, middles))
+
+
+def band_at(x: Column, starts: Column) -> Column:
+    """The column (from 0) where a word at x belongs: the last that begins at or before it, else the first."""
+    return F.greatest(F.size(F.filter(starts, lambda s: s <= x)) - 1, F.lit(0))
+
+
+def cells(words: Column, starts: Column) -> Column:
+    """The text of each column, an empty one where no word is."""
+    return F.transform(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: joined(F.filter(words, lambda w: band_at(w["x0"], starts) == i)))
+
+
+DATE = r"\b\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?\b|(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-zA-Z]*\.?\s+\d{1,2}\b"
+
+
+def has_money(text: Column) -> Column:
+    return F.exists(F.split(text, " "), lambda t: money_minor(t).isNotNull())
+
+
+def with_shape(rows: DataFrame) -> DataFrame:
+    """rows with `dated` (a date in the left third of the row's extent) and `priced` (money in the right third)."""
+    low, high = F.col("words")[0]["x0"], F.array_max(F.transform("words", lambda w: w["x1"]))
+    third = (high - low) / 3
+    left = joined(F.filter("words", lambda w: w["x0"] <= low + third))
+    right = joined(F.filter("words", lambda w: w["x1"] >= high - third))
+    return rows.withColumns({"dated": left.rlike(DATE), "priced": has_money(right)})
+
+
+def tables_of(rows: DataFrame) -> DataFrame:
+    """Rows of tables: `table` (its first row), `kind` (data, section, continuation, total) and `header` (the words of the row above with the columns' names).
+
+    A table is a run of three rows or more with a date at the left and money at the right, of which two in a row may lack them and
+    six in ten have them. Rows that follow belong to it while they start right of the first column and are no total or heading.
+    """
+    by_page = Window.partitionBy(*PAGE).orderBy("row_number")
+    shaped = with_shape(rows).withColumn("bearing", F.col("dated") & F.col("priced"))
+    capitals = (F.upper("text") == F.col("text")) & F.col("text").rlike(r"\p{L}")
+    above = [F.lag(F.struct(F.trim("text").alias("text"), "priced", "words"), k).over(by_page) for k in (1, 2, 3)]
+    shaped = shaped.withColumns({f"_above{k}": a for k, a in enumerate(above)})
+    header = F.coalesce(*[F.when((F.col(f"_above{k}.text") != "") & ~F.col(f"_above{k}.priced"), F.col(f"_above{k}.words")) for k in range(3)])
+    shaped = shaped.withColumn("header", header).drop("_above0", "_above1", "_above2")
+    # Runs of a page's rows, without a join: a bearing row over three rows after the one before begins one.
+    before = F.last(F.when(F.col("bearing"), F.col("row_number")), True).over(by_page.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.col("bearing") & F.coalesce(F.col("row_number") - before > 3, F.lit(True))
+    shaped = shaped.withColumn("_begins", begins).withColumn("_run", F.sum(F.col("_begins").cast("int")).over(by_page))
+    run = Window.partitionBy(*PAGE, "_run")
+    shaped = shaped.withColumns({"_end": F.max(F.when(F.col("bearing"), F.col("row_number"))).over(run), "_n": F.count(F.when(F.col("bearing"), 1)).over(run)})
+    length = F.col("_end") - F.col("row_number") + 1
+    sound = F.col("_begins") & (length >= 3) & (F.col("_n") / length >= 0.6)
+    table = F.when(sound, F.struct(F.col("row_number").alias("table"), "_end", F.col("header").alias("_header")))
+    placed = shaped.withColumn("_t", F.last(table, True).over(by_page)).where("_t is not null").drop("header", "_end", "_n", "_begins", "_run")
+    placed = placed.withColumns({"table": F.col("_t.table"), "header": F.col("_t._header"), "_end": F.col("_t._end")}).drop("_t")
+    key = [*PAGE, "table"]
+    first = bands_of(placed.where("bearing and row_number <= _end"), key).select(*key, F.col("bands")[0]["x1"].alias("_first"))
+    placed = placed.join(first, key)
+    total = F.col("text").rlike(r"(?i)\btotal\b")
+    wraps = (F.trim("text") != "") & ~total & ~capitals & (F.col("words")[0]["x0"] >= F.col("_first"))
+    stop = F.min(F.when((F.col("row_number") > F.col("_end")) & ~wraps, F.col("row_number"))).over(Window.partitionBy(*key))
+    placed = placed.withColumn("_stop", stop).where("row_number <= _end or _stop is null or row_number < _stop")
+    kind = F.when(total, "total").when(F.trim("text") == "", "continuation").when(~F.col("priced"), F.when(capitals, "section").otherwise("continuation")).otherwise("data")
+    return placed.withColumn("kind", kind).drop("_end", "_first", "_stop")
 
 
 def date_of(text: Column, year: Column) -> Column:
