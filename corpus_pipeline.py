@@ -2,42 +2,64 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents;
 the last returns the token ids of what is left.
+
+Defined cases, of all stages: an empty table gives an empty one; a row with a null id is judged by its text like any other; a null or empty
+text counts as one without words; texts are read whole; equal texts are judged alike; extra columns pass through as they are, also where an
+operator has a result of that name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthledger.llm import byte_bpe, decontamination, jaccard_join, quality_classifier, quality_rules
 from hearthledger.llm.common import table, written
 
+#: Columns that operators add; documents that have some of their own keep these.
+MADE = ("score", "predicted", "items", "spans", "n_words", *(x.split()[0] for x in quality_rules.SCHEMA.split(", ")))
+
+
+def _kept(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What choose keeps of docs, with just their columns."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in MADE}
+    out = choose(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled ones that are not held out."""
+    """Documents that the classifier rejects go; it learns from the labelled ones that are not held out.
+
+    Texts without words score alike, by what the labels say of such. Without labelled rows all score 0.5 and go.
+    """
     out = quality_classifier.held_out()
     model = quality_classifier.train(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
-    return quality_classifier.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda d: quality_classifier.classify(d, model).where("predicted = 1"))
 
 
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the count rules or the compression bands go."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that fail the count rules or the compression bands go, those without words among them."""
+    return _kept(docs, lambda d: quality_rules.quality_rules(d).where("kept"))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links at five-word shingles and a similarity of 0.8, the smallest doc_id stays."""
-    return jaccard_join.keep_one(docs, jaccard_join.join(docs)).select(*docs.columns)
+    """Of each group that links at five-word shingles and a similarity of 0.8, the smallest doc_id stays, once.
+
+    A row without an id stays if none of its group has one; texts without words link with nothing and stay.
+    """
+    return _kept(docs, lambda d: jaccard_join.keep_one(d, jaccard_join.join(d)))
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verified window of a benchmark item go."""
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.remove_documents(found).select(*docs.columns)
+    """Documents with a verified window of a benchmark item go; those without words stay."""
+    found = table(spark, sf_dir, "benchmark")
+    return _kept(docs, lambda d: decontamination.remove_documents(decontamination.find(d, found)))
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (packed), with digests of them and of what they decode to."""
+    """Token ids of each document (packed), with digests of them and of what they decode to; none for a text that is null or empty."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
