@@ -25,6 +25,7 @@ output are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -294,7 +295,17 @@ class TokenCounter:
         return (totals + np.bincount(whose, counts, len(texts)).astype(np.int64)).tolist()
 
 
-_WORKER: dict[int, TokenCounter] = {}
+_WORKER: dict[str, TokenCounter] = {}
+
+
+def checked(spec: dict) -> tuple[list[tuple[str, str]], list[str]]:
+    """(merges, special strings) of a tokenizer's JSON; an error for what these transducers do not model."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges"))
+    if not plain or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("only byte-level BPE without a normalizer, prefix space or options of its own is counted")
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    return merges, [t["content"] for t in spec["added_tokens"]]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -302,17 +313,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = json.load(f)
-    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
-    shared = spark.sparkContext.broadcast((merges, [t["content"] for t in spec["added_tokens"]]))
+        raw = f.read()
+    # A worker keeps its counter under the file's digest: another broadcast of the same file finds it again, one of another file does not.
+    shared = spark.sparkContext.broadcast((hashlib.sha256(raw.encode()).hexdigest(), *checked(json.loads(raw))))
 
     @F.pandas_udf("long")
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        value = shared.value
-        if id(value) not in _WORKER:
+        name, *made_of = shared.value
+        if name not in _WORKER:
             _WORKER.clear()
-            _WORKER[id(value)] = TokenCounter(*value)
-        counter = _WORKER[id(value)]
+            _WORKER[name] = TokenCounter(*made_of)
+        counter = _WORKER[name]
         for part in texts:
             out: list[int] = []
             block: list = []

@@ -270,3 +270,38 @@ def test_shard_sizes_and_checksums_are_those_of_the_texts(spark, sf_dir):
     got = sharding.op5_sharding(spark, sf_dir).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {k: (len(t) + 16, zlib.crc32(t)) for k, t in texts.items()}
     assert all(0 <= r["shard"] < 40 for r in got)
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory, odd_docs):
+    """A folder with labels of odd documents and a benchmark item that one of them has."""
+    to = str(tmp_path_factory.mktemp("tables"))
+    passage = " ".join(odd_docs.where("doc_id = 3").first()["text"].split()[5:25])
+    spark.createDataFrame([(i, int(i not in (4, 7, 11)), 0) for i in range(1, 12)], "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    spark.createDataFrame([(1, passage), (None, "zz"), (3, None)], "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
+    return to
+
+
+def test_pipeline_stages_on_odd_documents(spark, both, small_tables):
+    import corpus_pipeline
+
+    docs, none = both
+    rows = lambda df: sorted(map(str, df.select("doc_id", "text", "score", "kept").collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small_tables)
+        assert out.columns == docs.columns and set(rows(out)) <= set(rows(docs)) and {r["score"] for r in out.collect()} <= {"old"}, name
+        assert stage(spark, none, small_tables).count() == 0
+    left = rows(corpus_pipeline.benchmark(spark, docs, small_tables))
+    assert left == sorted(str(r) for r in docs.select("doc_id", "text", "score", "kept").collect() if r["text"] is None or not (r["doc_id"] in (3, None)))
+    ids = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, small_tables).collect()}
+    assert ids == {1, 3, 4, 5, 6, 7, 8, 9, 10, 11}
+    assert {r["doc_id"] for r in corpus_pipeline.rules(spark, docs, small_tables).collect()}.isdisjoint({4, 5, 6, 7, 9, 11})
+    assert {r["n_tokens"] for r in corpus_pipeline.tokens(spark, docs, small_tables).where("doc_id in (4, 5)").collect()} == {0}
+
+
+def test_tokenizers_of_another_kind_are_refused():
+    good = {"model": {"type": "BPE", "merges": [["a", "b"]]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "normalizer": None}
+    assert token_counts.checked(good) == ([("a", "b")], [])
+    for bad in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "WordPiece"}}):
+        with pytest.raises(ValueError):
+            token_counts.checked(good | bad)
