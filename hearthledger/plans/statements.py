@@ -21,12 +21,12 @@ def _base(s, d) -> DataFrame:
     return frame(s, d, _BASE)
 
 
-def _cell(x: float, text) -> Column:
+def cell(x: float, text) -> Column:
     return F.struct(F.lit(x).alias("x"), (F.lit(text) if isinstance(text, str) else text).alias("t"))
 
 
-def _line(when, page, line, *cells: Column) -> Column:
-    return F.when(when, F.struct(F.lit(page).cast("int").alias("page"), (F.lit(line) if isinstance(line, int) else line).cast("int").alias("line"), F.array(*cells).alias("cells")))
+def line(when, page, at, *cells: Column) -> Column:
+    return F.when(when, F.struct(F.lit(page).cast("int").alias("page"), (F.lit(at) if isinstance(at, int) else at).cast("int").alias("line"), F.array(*cells).alias("cells")))
 
 
 def _words(base: DataFrame, prefix: str, lines: list[Column], heads: list[Column]) -> DataFrame:
@@ -34,6 +34,11 @@ def _words(base: DataFrame, prefix: str, lines: list[Column], heads: list[Column
     named = F.concat(F.lit(prefix), "k").alias("file_sha256")
     once = base.groupBy("k", "y", "supplier").agg(*[F.sum(F.when(F.col("sec") == i, _signed(prefix))).alias(f"sum{i}") for i in (1, 2, 3)], F.sum(_signed(prefix)).alias("sum"))
     made = base.select(named, F.explode(F.array_compact(F.array(*lines))).alias("l")).unionByName(once.select(named, F.explode(F.array_compact(F.array(*heads))).alias("l")))
+    return printed(made)
+
+
+def printed(made: DataFrame) -> DataFrame:
+    """Words of lines (file_sha256, l)."""
     cells = made.select("file_sha256", "l.page", "l.line", F.explode("l.cells").alias("c"))
     each = cells.select("file_sha256", "page", "line", F.col("c.x").alias("x"), F.col("c.t").alias("t"), F.posexplode(F.split("c.t", " ")).alias("i", "text"))
     before = F.length(F.array_join(F.slice(F.split("t", " "), 1, F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
@@ -61,14 +66,14 @@ def _a_rows(s, d) -> DataFrame:
     names = list(layouts.A_SECTIONS.values())
     amount = money_plain(_signed("A"))
     lines = [
-        _line(F.lit(True), F.col("sec"), _LINE, _cell(0, _full("d")), _cell(80, _full(F.date_add("d", 1))), _cell(160, F.col("shop")), _cell(400, F.col("o").cast("string")), _cell(480, "1234"), _cell(560, amount)),
-        _line(F.col("n") == 5, F.col("sec"), _LINE + 1, _cell(160, "second line")), _line(F.col("n") == 6, F.col("sec"), _LINE + 2, _cell(160, "40.00 EUR X 1.1250")),
+        line(F.lit(True), F.col("sec"), _LINE, cell(0, _full("d")), cell(80, _full(F.date_add("d", 1))), cell(160, F.col("shop")), cell(400, F.col("o").cast("string")), cell(480, "1234"), cell(560, amount)),
+        line(F.col("n") == 5, F.col("sec"), _LINE + 1, cell(160, "second line")), line(F.col("n") == 6, F.col("sec"), _LINE + 2, cell(160, "40.00 EUR X 1.1250")),
     ]
     labels = ("Trans Date", "Post Date", "Description", "Reference Number", "Account Number", "Amount", "Total")
-    heads = [_line(F.lit(True), 1, 0, *[_cell(x, t) for x, t in zip((0, 80, 160, 400, 480, 560, 640), labels)]), _line(F.lit(True), 4, 1, _cell(0, names[3].upper()))]
-    heads += [_line(F.lit(True), i, 1, _cell(0, names[i - 1].upper())) for i in (1, 2, 3)]
-    heads += [_line(F.lit(True), i, 1_000_000, _cell(0, F.concat(F.lit(f"TOTAL {names[i - 1].upper()} FOR THIS PERIOD "), money_plain(F.coalesce(F.col(f"sum{i}"), F.lit(0)))))) for i in (1, 2, 3)]
-    heads.append(_line(F.lit(True), 4, 1_000_000, _cell(0, "TOTAL INTEREST CHARGED FOR THIS PERIOD 0.00")))
+    heads = [line(F.lit(True), 1, 0, *[cell(x, t) for x, t in zip((0, 80, 160, 400, 480, 560, 640), labels)]), line(F.lit(True), 4, 1, cell(0, names[3].upper()))]
+    heads += [line(F.lit(True), i, 1, cell(0, names[i - 1].upper())) for i in (1, 2, 3)]
+    heads += [line(F.lit(True), i, 1_000_000, cell(0, F.concat(F.lit(f"TOTAL {names[i - 1].upper()} FOR THIS PERIOD "), money_plain(F.coalesce(F.col(f"sum{i}"), F.lit(0)))))) for i in (1, 2, 3)]
+    heads.append(line(F.lit(True), 4, 1_000_000, cell(0, "TOTAL INTEREST CHARGED FOR THIS PERIOD 0.00")))
     return words.rows_of(_words(_base(s, d), "A", lines, heads))
 
 
@@ -90,22 +95,22 @@ def _period_heads(page: int = 1, first: str = "Previous Balance", last: str = "N
     """The period and balances; a bank's closing balance is less by what was spent."""
     year = F.col("y").cast("string")
     return [
-        _line(F.lit(True), page, 0, _cell(0, F.concat(F.lit("Statement period 01/01/"), year, F.lit(" through 12/31/"), year))),
-        _line(F.lit(True), page, 1, _cell(0, F.concat(F.lit(f"{first} $"), money_plain(F.lit(opening).cast("bigint"))))),
-        _line(F.lit(True), page, 2, _cell(0, F.concat(F.lit(f"{last} "), money_plain((F.lit(opening) + sign * F.col("sum")).cast("bigint"))))),
+        line(F.lit(True), page, 0, cell(0, F.concat(F.lit("Statement period 01/01/"), year, F.lit(" through 12/31/"), year))),
+        line(F.lit(True), page, 1, cell(0, F.concat(F.lit(f"{first} $"), money_plain(F.lit(opening).cast("bigint"))))),
+        line(F.lit(True), page, 2, cell(0, F.concat(F.lit(f"{last} "), money_plain((F.lit(opening) + sign * F.col("sum")).cast("bigint"))))),
     ]
 
 
 def _b_rows(s, d) -> DataFrame:
     base = _base(s, d)
     page = F.least(F.col("sec"), F.lit(2))
-    line = 10 + 3 * F.col("nth")
+    at = 10 + 3 * F.col("nth")
     lines = [
-        _line(F.lit(True), page, line, _cell(0, _short("d")), _cell(60, F.col("shop")), _cell(400, money_plain(_signed("B")))),
-        _line(F.col("n") == 5, page, line + 1, _cell(60, "second line")), _line(F.col("n") == 6, page, line + 2, _cell(60, "FOREIGN CURRENCY AMOUNT 35.00 GBP EXCH RATE 1.20000")),
+        line(F.lit(True), page, at, cell(0, _short("d")), cell(60, F.col("shop")), cell(400, money_plain(_signed("B")))),
+        line(F.col("n") == 5, page, at + 1, cell(60, "second line")), line(F.col("n") == 6, page, at + 2, cell(60, "FOREIGN CURRENCY AMOUNT 35.00 GBP EXCH RATE 1.20000")),
     ]
-    heads = [*_period_heads(), _line(F.lit(True), 1, 3, _cell(0, "ACCOUNT ACTIVITY")), _line(F.lit(True), 1, 4, _cell(0, "Date of"), _cell(60, "Merchant Name or Transaction Description"), _cell(400, "$ Amount")),
-             _line(F.lit(True), 1, 5, _cell(0, "PAYMENTS AND OTHER CREDITS")), _line(F.lit(True), 2, 0, _cell(0, "PURCHASES")), _line(F.lit(True), 3, 0, _cell(0, "INTEREST CHARGED")), _line(F.lit(True), 3, 1, _cell(0, "1/5"), _cell(60, "Interest on balance"), _cell(400, "3.00"))]
+    heads = [*_period_heads(), line(F.lit(True), 1, 3, cell(0, "ACCOUNT ACTIVITY")), line(F.lit(True), 1, 4, cell(0, "Date of"), cell(60, "Merchant Name or Transaction Description"), cell(400, "$ Amount")),
+             line(F.lit(True), 1, 5, cell(0, "PAYMENTS AND OTHER CREDITS")), line(F.lit(True), 2, 0, cell(0, "PURCHASES")), line(F.lit(True), 3, 0, cell(0, "INTEREST CHARGED")), line(F.lit(True), 3, 1, cell(0, "1/5"), cell(60, "Interest on balance"), cell(400, "3.00"))]
     return words.rows_of(_words(base, "B", lines, heads))
 
 
@@ -122,13 +127,13 @@ def _(s, d):
 
 def _c_rows(s, d) -> DataFrame:
     page = F.least(F.col("sec"), F.lit(2))
-    line = 10 + 3 * F.col("nth")
-    cells = [_cell(0, _short("d")), _cell(100, F.col("shop")), _cell(450, money_plain(_signed("C")))]
+    at = 10 + 3 * F.col("nth")
+    cells = [cell(0, _short("d")), cell(100, F.col("shop")), cell(450, money_plain(_signed("C")))]
     label = (F.col("sec") > 1) & (F.col("n") != 2)
     lines = [
-        _line(~label, page, line, *cells), _line(label, page, line, *cells, _cell(300, "Gas Stations")), _line(F.col("n") == 5, page, line + 1, _cell(100, "second line")), _line(F.col("n") == 6, page, line + 2, _cell(100, "FX 125.00 EUR RATE 1.0870")),
+        line(~label, page, at, *cells), line(label, page, at, *cells, cell(300, "Gas Stations")), line(F.col("n") == 5, page, at + 1, cell(100, "second line")), line(F.col("n") == 6, page, at + 2, cell(100, "FX 125.00 EUR RATE 1.0870")),
     ]
-    heads = [*_period_heads(), _line(F.lit(True), 1, 4, _cell(0, "TRANS. DATE"), _cell(100, "PAYMENTS AND CREDITS"), _cell(450, "AMOUNT")), _line(F.lit(True), 2, 0, _cell(0, "TRANS. DATE"), _cell(100, "PURCHASES"), _cell(300, "MERCHANT CATEGORY"), _cell(450, "AMOUNT"))]
+    heads = [*_period_heads(), line(F.lit(True), 1, 4, cell(0, "TRANS. DATE"), cell(100, "PAYMENTS AND CREDITS"), cell(450, "AMOUNT")), line(F.lit(True), 2, 0, cell(0, "TRANS. DATE"), cell(100, "PURCHASES"), cell(300, "MERCHANT CATEGORY"), cell(450, "AMOUNT"))]
     return words.rows_of(_words(_base(s, d), "C", lines, heads))
 
 
@@ -147,16 +152,16 @@ _D_BALANCE = f"10000000 - sum({_D_SIGN}) OVER (PARTITION BY k ORDER BY sec, rn)
 def _d_rows(s, d) -> DataFrame:
     base = frame(s, d, f"SELECT *, {_D_TEXT} AS text, {_D_BALANCE} AS balance FROM ({_BASE}) t".replace("VARCHAR(9)", "STRING").replace("VARCHAR(4)", "STRING"))
     debit, shown = F.col("sec") > 1, F.col("n") % 3 == 0
-    cells = [_cell(0, _short("d")), _cell(60, F.col("text"))]
+    cells = [cell(0, _short("d")), cell(60, F.col("text"))]
     amount = money_plain(F.col("cents"))
-    at = lambda when, *more: _line(when, F.col("sec"), _LINE, *cells, *more)
-    balance = _cell(460, money_plain(F.col("balance").cast("bigint")))
+    shows = lambda when, *more: line(when, F.col("sec"), _LINE, *cells, *more)
+    balance = cell(460, money_plain(F.col("balance").cast("bigint")))
     lines = [
-        at(debit & ~shown, _cell(300, amount)), at(debit & shown, _cell(300, amount), balance), at(~debit & ~shown, _cell(380, amount)), at(~debit & shown, _cell(380, amount), balance),
-        _line(F.col("n") == 5, F.col("sec"), _LINE + 1, _cell(60, "second line")), _line(F.col("n") == 6, F.col("sec"), _LINE + 2, _cell(60, "FOREIGN AMOUNT 45.00 EUR RATE 1.0921")),
+        shows(debit & ~shown, cell(300, amount)), shows(debit & shown, cell(300, amount), balance), shows(~debit & ~shown, cell(380, amount)), shows(~debit & shown, cell(380, amount), balance),
+        line(F.col("n") == 5, F.col("sec"), _LINE + 1, cell(60, "second line")), line(F.col("n") == 6, F.col("sec"), _LINE + 2, cell(60, "FOREIGN AMOUNT 45.00 EUR RATE 1.0921")),
     ]
-    heads = [*_period_heads(1, "Beginning Balance", "Ending Balance", 10_000_000, -1), _line(F.lit(True), 1, 4, _cell(0, "Date"), _cell(60, "Description"), _cell(300, "Withdrawals"), _cell(380, "Deposits"), _cell(460, "Balance"))]
-    heads += [_line(F.lit(True), i, 6, _cell(0, name)) for i, name in ((1, "Deposits and Additions"), (2, "ATM & Debit Card Withdrawals"), (3, "Fees"))]
+    heads = [*_period_heads(1, "Beginning Balance", "Ending Balance", 10_000_000, -1), line(F.lit(True), 1, 4, cell(0, "Date"), cell(60, "Description"), cell(300, "Withdrawals"), cell(380, "Deposits"), cell(460, "Balance"))]
+    heads += [line(F.lit(True), i, 6, cell(0, name)) for i, name in ((1, "Deposits and Additions"), (2, "ATM & Debit Card Withdrawals"), (3, "Fees"))]
     return words.rows_of(_words(base, "D", lines, heads))
 
 
@@ -182,12 +187,12 @@ _G_ISSUER = "CASE supplier % 4 WHEN 0 THEN 'North Bank statement' WHEN 1 THEN 'A
 
 def _g_rows(s, d) -> DataFrame:
     base = _base(s, d)
-    page, line = F.floor((F.col("nth") - 1) / _PER_PAGE) + 1, 10 + 2 * F.col("nth")
+    page, at = F.floor((F.col("nth") - 1) / _PER_PAGE) + 1, 10 + 2 * F.col("nth")
     lines = [
-        _line(F.lit(True), page, line, _cell(0, _full("d")), _cell(90, F.col("shop")), _cell(300, money_plain(_signed("G")))), _line((F.col("n") == 5) & (F.col("nth") % 3 == 0), page, line + 1, _cell(90, "second line")),
-        _line(F.col("nth") % _PER_PAGE == 1, page, 4, _cell(0, "Date"), _cell(90, "Details"), _cell(300, "Amount")),
+        line(F.lit(True), page, at, cell(0, _full("d")), cell(90, F.col("shop")), cell(300, money_plain(_signed("G")))), line((F.col("n") == 5) & (F.col("nth") % 3 == 0), page, at + 1, cell(90, "second line")),
+        line(F.col("nth") % _PER_PAGE == 1, page, 4, cell(0, "Date"), cell(90, "Details"), cell(300, "Amount")),
     ]
-    heads = [_line(F.lit(True), 1, 0, _cell(0, F.expr(_G_ISSUER)))]
+    heads = [line(F.lit(True), 1, 0, cell(0, F.expr(_G_ISSUER)))]
     return words.rows_of(_words(base, "G", lines, heads))
 
 
