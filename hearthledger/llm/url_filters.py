@@ -9,7 +9,7 @@ no host-and-path rule fits gets the verdict of the pattern rules, and `allow` if
 
 The index is a literal of the plan: an array of `SLOTS` buckets by the token's hash, each a list of
 (token, rule). Looking up is an array access in the row, without shuffle, whatever
-the skew of hosts. At most `MAX_RULES` rules can be given; more raise an error.
+the skew of hosts. More than `MAX_RULES` rules become several such literals, looked up in one pass.
 
 Defined cases: a null URL or one without `://` has empty host and path, no rule, and is allowed;
 repeated URLs are judged alike; other columns pass through, those named like an output are replaced.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A literal of the plan holds the index; this keeps it below a few MB.
+#: Rules in one literal of the plan; this keeps it below a few MB.
 MAX_RULES = 20_000
 SLOTS = 1024
 
@@ -126,23 +126,24 @@ def _slot(token: Column) -> Column:
     return F.pmod(F.hash(token), F.lit(SLOTS))
 
 
+def _looked_up(index: Column):
+    """token -> the rules that the index has for it."""
+    return lambda t: F.filter(F.element_at(index, _slot(t) + 1), lambda e: e["token"] == t)
+
+
 def judge(urls: DataFrame, rules: Sequence[Rule] = RULES, patterns: Sequence[Rule] = PATTERNS, url_col: str = "url") -> DataFrame:
     """urls with host, path, rule and verdict."""
     both = [*rules, *patterns]
-    if len(both) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     out = urls.withColumn("_host", host_of(url_col)).withColumn("_path", path_of(url_col))
     out = out.withColumn("_target", F.concat("_host", "_path"))
-    index = rule_index(out, both, "_target")
-    fetched = F.flatten(
-        F.transform(
-            F.concat(tokens_of(F.col("_target")), F.array(F.lit(""))),
-            lambda t: F.filter(F.element_at(index, _slot(t) + 1), lambda e: e["token"] == t),
-        )
-    )
-    out = out.withColumn("_fetched", fetched)
-    fits = F.filter("_fetched", lambda e: F.regexp_like(F.col("_target"), e["pattern"]))
-    out = out.withColumn("_fits", fits)
+    words = F.concat(tokens_of(F.col("_target")), F.array(F.lit("")))
+    names = []
+    for k in range(0, max(1, len(both)), MAX_RULES):
+        index = rule_index(out, both[k : k + MAX_RULES], "_target")
+        fetched = F.flatten(F.transform(words, _looked_up(index)))
+        names.append(f"_fits{k}")
+        out = out.withColumn(names[-1], F.filter(fetched, lambda e: F.regexp_like(F.col("_target"), e["pattern"])))
+    out = out.withColumn("_fits", F.concat(*names))
     # The longest first, then block before allow, then by name.
     ranked = F.array_sort(
         F.transform(

@@ -305,3 +305,37 @@ def test_tokenizers_of_another_kind_are_refused():
     for bad in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "WordPiece"}}):
         with pytest.raises(ValueError):
             token_counts.checked(good | bad)
+
+
+def test_both_sides_of_every_switch(spark, sf_dir, monkeypatch):
+    """Other plans beyond a size give the same rows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = lambda: sorted(map(str, html_extraction.extract_text(pages.select("page_id", "url", "html")).select("page_id", "text").collect()))
+    rule = lambda: sorted(map(str, url_filters.judge(pages.select("page_id", "url")).collect()))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = lambda: sorted(r["doc_id"] for r in jaccard_join.keep_one(docs, jaccard_join.join(docs)).collect())
+    before = text(), rule(), kept()
+    monkeypatch.setattr(html_extraction, "MAX_HOSTS", 0)
+    monkeypatch.setattr(url_filters, "MAX_RULES", 2)
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", 0)
+    assert (text(), rule(), kept()) == before
+
+
+def test_ties_of_rules_and_very_long_urls(spark):
+    rules = [url_filters.Rule("allow", "a", ("a",), "n/1", 3), url_filters.Rule("block", "a", ("a",), "n/2", 3), url_filters.Rule("allow", "zz", ("zz",), "zz", 2)]
+    urls = spark.createDataFrame([(1, "http://a/"), (2, "http://zz/a"), (3, "http://b/" + "x/" * 200_000 + "zz"), (4, "http://q")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge(urls, rules, ()).collect()}
+    assert got == {1: ("n/2", "block"), 2: ("n/2", "block"), 3: ("zz", "allow"), 4: (None, "allow")}
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (3, "same words", "c")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    for group in (1, 2, 500):
+        assert {r["lang_pred"] for r in language_id.predict(docs, model, group=group).collect()} == {"a"}
+
+
+def test_a_text_of_exactly_a_bands_length_belongs_to_it():
+    bands = ((10, 0.2, 0.9), (20, 0.5, 0.8))
+    assert quality_rules.in_band(9, 0.0, bands) and not quality_rules.in_band(10, 0.1, bands)
+    assert quality_rules.in_band(19, 0.3, bands) and not quality_rules.in_band(20, 0.3, bands) and quality_rules.in_band(20, 0.5, bands)
