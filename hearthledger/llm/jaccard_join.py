@@ -58,6 +58,10 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Shingles of a bucket of a sketch, about.
 BUCKET = 4
 
+#: Rows of a rare pivot that may meet in one task; pivots with more are found by counts of `COUNTERS` buckets, then exactly.
+REGION_ROWS = 200_000
+COUNTERS = 1 << 17
+
 #: Rounds with document pivots before the exact comparison of what is left.
 ROUNDS = 3
 
@@ -213,6 +217,21 @@ def reach(pos: Column, n: Column, percent: int) -> Column:
     return F.floor((n - pos) * (100 + percent) / percent + 1e-6).cast("int") - n
 
 
+def heavy_pivots(members: DataFrame) -> DataFrame | None:
+    """(pivot) of rare pivots with more than REGION_ROWS rows, None without any: what the blocks of texts did not show as frequent.
+
+    All rows are counted by bucket first, which sums up in each task; only pivots of buckets above the limit are counted one by one.
+    """
+    each = members.select(F.explode("cold").alias("pivot")).withColumn("_bucket", F.pmod("pivot", F.lit(COUNTERS)))
+    full = each.groupBy("_bucket").count().where(F.col("count") > REGION_ROWS).select("_bucket")
+    full = written(full, "jaccard-buckets")  # COUNTERS rows at most
+    if full.isEmpty():
+        return None
+    exact = each.join(F.broadcast(full), "_bucket", "left_semi").groupBy("pivot").count()
+    found = written(exact.where(F.col("count") > REGION_ROWS).select("pivot"), "jaccard-heavy")
+    return None if found.isEmpty() else found
+
+
 def regions_of(members: DataFrame, percent: int) -> DataFrame:
     """(pivot, doc_id, n, reach, hub, rows) of regions of two documents or more; the hub is the most central document.
 
@@ -225,15 +244,19 @@ def regions_of(members: DataFrame, percent: int) -> DataFrame:
         rows = members.select("doc_id", F.col("n").cast("int").alias("n"), before.alias("_before"), F.posexplode(which).alias("_at", "pivot"))
         return rows.select("pivot", "doc_id", "n", reach(F.col("_at") + F.col("_before"), F.col("n"), percent).alias("reach"))
 
+    rare, often = entries("cold", F.lit(0)), entries("hot", F.size("cold"))
+    if (heavy := heavy_pivots(members)) is not None:
+        few = F.broadcast(heavy) if heavy.count() <= MAX_BROADCAST_IDS else heavy
+        often = often.unionByName(rare.join(few, "pivot", "left_semi"))
+        rare = rare.join(few, "pivot", "left_anti")
     hub, smallest = F.max(_central()).alias("hub"), F.min(F.struct("n", "doc_id")).alias("_least")
     by = Window.partitionBy("pivot")
     # Dealt out as three numbers a row, before the window works out its structs.
-    packed = entries("cold", F.lit(0)).select("pivot", "doc_id", F.expr("shiftleft(cast(n as bigint), 32) + reach").alias("_p")).repartition("pivot")
+    packed = rare.select("pivot", "doc_id", F.expr("shiftleft(cast(n as bigint), 32) + reach").alias("_p")).repartition("pivot")
     cold = packed.select("pivot", "doc_id", F.expr("cast(shiftright(_p, 32) as int)").alias("n"), F.expr("cast(_p & 4294967295 as int)").alias("reach"))
     cold = cold.select("*", *(c.over(by).alias(a) for c, a in ((F.max(_central()), "hub"), (F.min(F.struct("n", "doc_id")), "_least"), (F.count("*"), "rows"))))
-    hot = entries("hot", F.size("cold"))
-    hubs = hot.groupBy("pivot").agg(hub, smallest, F.count("*").alias("rows"))
-    rows = cold.unionByName(hot.join(hubs, "pivot")).where("rows > 1 and (doc_id = _least.doc_id or reach >= _least.n)")
+    hubs = often.groupBy("pivot").agg(hub, smallest, F.count("*").alias("rows"))
+    rows = cold.unionByName(often.join(hubs, "pivot")).where("rows > 1 and (doc_id = _least.doc_id or reach >= _least.n)")
     return written(rows.drop("_least"), "jaccard-regions")
 
 

@@ -318,6 +318,8 @@ def test_both_sides_of_every_switch(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(html_extraction, "MAX_HOSTS", 0)
     monkeypatch.setattr(url_filters, "MAX_RULES", 2)
     monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", 2)
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 64)
     assert (text(), rule(), kept()) == before
 
 
