@@ -196,8 +196,9 @@ def _g_rows(s, d) -> DataFrame:
     return words.rows_of(_words(base, "G", lines, heads))
 
 
-# Pages with fewer than three rows have no table.
-_G_READ = f"(SELECT *, row_number() OVER (PARTITION BY k ORDER BY nth) AS ordinal, count(*) OVER (PARTITION BY k) AS whole FROM (SELECT *, count(*) OVER (PARTITION BY k, (nth - 1) // {_PER_PAGE}) AS c FROM ({_BASE})) WHERE c >= 3)"
+# A table has three rows or more from its first dated one to its last, with those that go on with a text, and six in ten are dated.
+_G_READ = f"""(SELECT *, row_number() OVER (PARTITION BY k ORDER BY nth) AS ordinal, count(*) OVER (PARTITION BY k) AS whole FROM (
+  SELECT *, count(*) OVER p AS c, count(*) FILTER (n = 5 AND nth % 3 = 0 AND nth < top) OVER p AS more FROM (SELECT *, (nth - 1) // {_PER_PAGE} AS page, max(nth) OVER (PARTITION BY k, (nth - 1) // {_PER_PAGE}) AS top FROM ({_BASE})) WINDOW p AS (PARTITION BY k, page)) WHERE c + more >= 3 AND c >= 0.6 * (c + more))"""
 
 
 @query("statements_generic", f"SELECT concat('G', k) AS file_sha256, ordinal, d AS posted_date, concat(shop, CASE WHEN n = 5 AND nth % 3 = 0 THEN ' second line' ELSE '' END) AS description_raw, {_SIGN} AS amount_minor, NULL AS section, NULL AS kind_hint FROM {_G_READ} WHERE whole >= 3")
