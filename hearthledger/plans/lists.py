@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthledger.operators import accounts, balances, dashboard, ledger, networth, spend
+from hearthledger.operators import accounts, balances, corrections, dashboard, ledger, networth, spend
 from hearthledger.operators.spend import SpendQuery
 from hearthledger.plans.registry import query
+from hearthledger.sources import words
 from hearthledger.sources.export import exported
 from hearthledger.sources.fixtures import frame, view
 
@@ -154,3 +155,45 @@ def _(s, d):
 def _(s, d):
     rows = accounts.with_keys(view(s, d, "transactions"), view(s, d, "categories"), view(s, d, "subcategories"))
     return exported(rows.withColumnsRenamed({"category": "category_key", "subcategory": "subcategory_key"}).withColumn("mask", F.lit("1234")), 1)
+
+
+# Words of documents as pages of a hundred words.
+_WORDS = """SELECT CAST(doc_id AS VARCHAR(20)) AS file_sha256, CAST(pos DIV 100 + 1 AS INT) AS page_number, w AS text FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, w) FROM documents WHERE text IS NOT NULL) t"""
+_WORDS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS file_sha256, CAST((pos - 1) // 100 + 1 AS INTEGER) AS page_number, w AS text FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents WHERE text IS NOT NULL)"
+
+
+@query("page_selection", f"WITH w AS ({_WORDS_SQL}), h AS (SELECT file_sha256, bool_or(page_number IN (2, 3)) AS has FROM w GROUP BY file_sha256) SELECT file_sha256, page_number, count(*) AS n FROM w JOIN h USING (file_sha256) WHERE page_number IN (2, 3) OR NOT has GROUP BY ALL")
+def _(s, d):
+    chosen = words.select_pages(frame(s, d, _WORDS), words.page_numbers("2-3"))
+    return chosen.groupBy("file_sha256", "page_number").agg(F.count("*").alias("n"))
+
+
+@query("text_layers", f"WITH c AS (SELECT file_sha256, page_number, sum(length(text) + 1) AS c FROM ({_WORDS_SQL}) GROUP BY ALL) SELECT file_sha256, median(c) >= 50 AS has_text_layer FROM c GROUP BY file_sha256")
+def _(s, d):
+    return words.has_text_layer(frame(s, d, _WORDS))
+
+
+_SPECS = "SELECT o_orderkey AS id, o_custkey % 5 AS issuer_id, CASE o_orderkey % 3 WHEN 0 THEN 'credit' WHEN 1 THEN 'checking' END AS account_type, o_orderkey % 17 AS version, o_orderkey % 4 > 0 AS approved FROM orders"
+
+
+@query("layout_versions", f"SELECT id, version FROM ({_SPECS}) WHERE approved AND issuer_id = 2 AND (account_type IS NULL OR account_type = 'credit') ORDER BY version DESC, id DESC LIMIT 1")
+def _(s, d):
+    return accounts.versions(frame(s, d, _SPECS), 2, "credit").select("id", "version")
+
+
+_NOTED = "SELECT row_number() OVER (ORDER BY user_id, category, account_name, year, month, currency) AS id, balance_minor, CAST(NULL AS VARCHAR(9)) AS note FROM balance_entries"
+_PATCHES = "SELECT id, CASE WHEN id % 4 = 0 THEN CAST(5 AS BIGINT) END AS balance_minor, 'seen' AS note, id % 6 = 0 AS set_note FROM ({noted}) n WHERE id % 2 = 0"
+
+
+@query("balance_patch", f"WITH n AS ({_NOTED}) SELECT id, CASE WHEN id % 4 = 0 THEN 5 ELSE balance_minor END AS balance_minor, CASE WHEN id % 6 = 0 THEN 'seen' END AS note FROM n WHERE id % 5 <> 0", "balance_entries")
+def _(s, d):
+    rows = frame(s, d, _NOTED)
+    changed = balances.patched(rows, frame(s, d, _PATCHES.format(noted=_NOTED)))
+    return balances.deleted(changed, rows.where("id % 5 = 0").select("id"))
+
+
+@query("unknown_taxonomy_pairs", "SELECT t.id, c.key AS category, s.key AS subcategory FROM transactions t JOIN categories c ON category_id = c.id JOIN subcategories s ON subcategory_id = s.id WHERE (c.key, s.key) NOT IN (('groceries', 'supermarket'), ('dining', 'bar'), ('travel', 'hotel'))", "transactions", "categories", "subcategories")
+def _(s, d):
+    rows = accounts.with_keys(view(s, d, "transactions"), view(s, d, "categories"), view(s, d, "subcategories")).where("category is not null")
+    known = s.createDataFrame([("groceries", "supermarket"), ("dining", "bar"), ("travel", "hotel")], "category string, subcategory string")
+    return corrections.unknown_pairs(rows, known).select("id", "category", "subcategory")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.operators import dashboard, tax, tax_estimate, tax_identity
 from hearthledger.plans.registry import query
+from hearthledger.sources.export import tax_report
 from hearthledger.sources.fixtures import frame, view
 
 _MONEY = lambda x: f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, '$', format('{{:,}}', abs({x}) // 100), '.', lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0'))"
@@ -251,3 +252,32 @@ def _(s, d):
     _, _, kept = tax_identity.without_document(gone.select(F.col("form_id").alias("id")), forms, items, 1)
     changed = tax_identity.edited(kept, items.where("form_id % 6 = 0").select("id", F.lit(700).cast("bigint").alias("amount_minor")))
     return tax_identity.confirmed(changed, items.where("form_id % 8 = 4").select("form_id")).select("form_id", "category", "origin", "amount_minor")
+
+
+_SECTIONS = {"income": list(tax.INCOME), "withholding": list(tax.WITHHELD), "fica": list(tax.FICA), "liability": list(tax.LIABILITY)}
+_PAIRS = [(section, c) for section, columns in _SECTIONS.items() for c in columns]
+
+
+@query("tax_report", f", {YEAR_SQL}, {_MERGED}, p AS (SELECT tax_year, unnest([{', '.join(repr(x) for x, _ in _PAIRS)}]) AS section, unnest([{', '.join(repr(c) for _, c in _PAIRS)}]) AS category, unnest([{', '.join(c for _, c in _PAIRS)}]) AS amount_minor FROM merged) SELECT * FROM p WHERE amount_minor IS NOT NULL", *_VIEWS)
+def _(s, d):
+    return tax_report(tax.tax_summary(*_tables(s, d), per_user=False), _SECTIONS)
+
+
+# Figures read later from chosen pages, and those that a model gives.
+_LATER = "SELECT l_orderkey AS document_id, CASE WHEN l_linenumber % 2 = 0 THEN '1099-INT' ELSE 'W-2' END AS source_form, 'interest' AS category, CAST(l_quantity AS BIGINT) * 100 AS amount_minor FROM lineitem"
+
+
+@query("tax_new_figures", f"WITH a AS ({_LATER}) SELECT document_id, source_form, category, amount_minor, count(*) AS n FROM a WHERE document_id % 3 = 0 AND amount_minor > 2000 AND (document_id, source_form, amount_minor) NOT IN (SELECT document_id, source_form, amount_minor FROM a WHERE amount_minor % 300 = 0) GROUP BY ALL")
+def _(s, d):
+    rows = frame(s, d, _LATER)
+    new = tax_identity.new_figures(rows.where("document_id % 3 = 0 and amount_minor > 2000"), rows.where("amount_minor % 300 = 0"))
+    return new.groupBy("document_id", "source_form", "category", "amount_minor").agg(F.count("*").alias("n"))
+
+
+_PAGES = "SELECT o_orderkey AS document_id, concat('Total 1,', CAST(100 + o_orderkey % 900 AS VARCHAR(9)), '.50 and ', CAST(o_custkey AS VARCHAR(9)), ' due') AS text FROM orders"
+_CLAIMED = "SELECT o_orderkey AS document_id, CASE o_orderkey % 3 WHEN 0 THEN (1100 + o_orderkey % 900) * 100 + 50 WHEN 1 THEN -o_custkey * 100 ELSE o_orderkey * 100 + 7 END AS amount_minor FROM orders"
+
+
+@query("tax_grounded_figures", f"SELECT document_id, amount_minor FROM ({_CLAIMED}) WHERE document_id % 3 < 2")
+def _(s, d):
+    return tax_identity.grounded(frame(s, d, _CLAIMED), frame(s, d, _PAGES))
