@@ -134,7 +134,9 @@ def top_merchants(txns: DataFrame, categories: DataFrame, subcategories: DataFra
 
     sums = spend(txns, categories, subcategories, replace(q, group_by=("merchant",), grain="all"))
     top = sums.orderBy(F.desc("total_minor"), "merchant").limit(min(100, max(1, limit))).where(F.trim("merchant") != "")
-    names = merchant_names(txns).withColumnRenamed("merchant_key", "merchant")
+    # At most 100 merchants: only their rows are looked through for names.
+    wanted = F.broadcast(top.select(F.col("merchant").alias("merchant_key")).distinct())
+    names = merchant_names(txns.join(wanted, "merchant_key", "left_semi")).withColumnRenamed("merchant_key", "merchant")
     return top.join(names, "merchant", "left")
 
 
