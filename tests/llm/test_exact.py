@@ -172,6 +172,23 @@ def test_components_of_chains_and_copies(spark):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(rows))}
 
 
+def test_a_text_with_a_third_of_noise_or_loops_is_rejected():
+    import base64
+
+    packer = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("aeioustrnlmdk") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    noise = base64.b64encode(rng.randbytes(30_000)).decode()
+    noise = " ".join(noise[i : i + 40] for i in range(0, len(noise), 40))
+    loop = "the same line again. " * 2_000
+    good = prose(14_000)
+    assert quality_rules.judge(good, packer)[-1]
+    assert not quality_rules.judge(good + " " + noise, packer)[-1]
+    bad = quality_rules.judge(good + " " + loop, packer)
+    assert bad[7] > 0 and not bad[-1]
+
+
 def test_pipeline_stages(spark, sf_dir, duck):
     import corpus_pipeline
 
