@@ -30,10 +30,14 @@ EIN = r"(?<!\d)\d{2}-?\d{3}(\d{4})(?!\d)"
 PAYER_CHARS, JURISDICTION_CHARS = 120, 32
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Compatibility characters as plain ones (`ﬁ` as `fi`, full-width digits as digits)."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return plain(text)
 
 
 def printable(text: Column) -> Column:

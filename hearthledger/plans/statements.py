@@ -59,15 +59,20 @@ _full = lambda c: F.date_format(c, "MM/dd/yyyy")
 _short = lambda c: F.date_format(c, "M/d")
 _COLUMNS = ("file_sha256", "ordinal", "posted_date", "description_raw", "amount_minor", "section", "kind_hint")
 _ORDINAL = "row_number() OVER (PARTITION BY k ORDER BY sec, rn)"
-_LINE = 10 + 3 * F.col("rn")
+
+
+def _at(more: int = 0) -> Column:
+    """The line of a row of the bill, or one after it."""
+    return F.col("rn") * 3 + 10 + more
+
 
 
 def _a_rows(s, d) -> DataFrame:
     names = list(layouts.A_SECTIONS.values())
     amount = money_plain(_signed("A"))
     lines = [
-        line(F.lit(True), F.col("sec"), _LINE, cell(0, _full("d")), cell(80, _full(F.date_add("d", 1))), cell(160, F.col("shop")), cell(400, F.col("o").cast("string")), cell(480, "1234"), cell(560, amount)),
-        line(F.col("n") == 5, F.col("sec"), _LINE + 1, cell(160, "second line")), line(F.col("n") == 6, F.col("sec"), _LINE + 2, cell(160, "40.00 EUR X 1.1250")),
+        line(F.lit(True), F.col("sec"), _at(), cell(0, _full("d")), cell(80, _full(F.date_add("d", 1))), cell(160, F.col("shop")), cell(400, F.col("o").cast("string")), cell(480, "1234"), cell(560, amount)),
+        line(F.col("n") == 5, F.col("sec"), _at(1), cell(160, "second line")), line(F.col("n") == 6, F.col("sec"), _at(2), cell(160, "40.00 EUR X 1.1250")),
     ]
     labels = ("Trans Date", "Post Date", "Description", "Reference Number", "Account Number", "Amount", "Total")
     heads = [line(F.lit(True), 1, 0, *[cell(x, t) for x, t in zip((0, 80, 160, 400, 480, 560, 640), labels)]), line(F.lit(True), 4, 1, cell(0, names[3].upper()))]
@@ -154,11 +159,11 @@ def _d_rows(s, d) -> DataFrame:
     debit, shown = F.col("sec") > 1, F.col("n") % 3 == 0
     cells = [cell(0, _short("d")), cell(60, F.col("text"))]
     amount = money_plain(F.col("cents"))
-    shows = lambda when, *more: line(when, F.col("sec"), _LINE, *cells, *more)
+    shows = lambda when, *more: line(when, F.col("sec"), _at(), *cells, *more)
     balance = cell(460, money_plain(F.col("balance").cast("bigint")))
     lines = [
         shows(debit & ~shown, cell(300, amount)), shows(debit & shown, cell(300, amount), balance), shows(~debit & ~shown, cell(380, amount)), shows(~debit & shown, cell(380, amount), balance),
-        line(F.col("n") == 5, F.col("sec"), _LINE + 1, cell(60, "second line")), line(F.col("n") == 6, F.col("sec"), _LINE + 2, cell(60, "FOREIGN AMOUNT 45.00 EUR RATE 1.0921")),
+        line(F.col("n") == 5, F.col("sec"), _at(1), cell(60, "second line")), line(F.col("n") == 6, F.col("sec"), _at(2), cell(60, "FOREIGN AMOUNT 45.00 EUR RATE 1.0921")),
     ]
     heads = [*_period_heads(1, "Beginning Balance", "Ending Balance", 10_000_000, -1), line(F.lit(True), 1, 4, cell(0, "Date"), cell(60, "Description"), cell(300, "Withdrawals"), cell(380, "Deposits"), cell(460, "Balance"))]
     heads += [line(F.lit(True), i, 6, cell(0, name)) for i, name in ((1, "Deposits and Additions"), (2, "ATM & Debit Card Withdrawals"), (3, "Fees"))]

@@ -225,7 +225,7 @@ def test_compatibility_characters_become_plain(spark):
     from hearthledger.functions import privacy
 
     df = spark.createDataFrame([("ﬁn １２３ Å",), (None,)], "t string")
-    assert [r[0] for r in df.select(privacy.nfkc("t")).collect()] == ["fin 123 Å", None]
+    assert [r[0] for r in df.select(privacy.nfkc(F.col("t"))).collect()] == ["fin 123 Å", None]
 
 
 def test_entries_are_replaced_in_one_pass(spark):

@@ -1,5 +1,9 @@
 """Each registered query of the ledger against its SQL."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +38,11 @@ def test_later_equal_rows_are_new_rows_too(spark, sf_dir):
     assert queries.QUERIES["dedupe_new_rows_numbered"](spark, sf_dir).where("occurrence_index > 0").count() > 0
 
 
+def test_the_entry_point_is_imported_without_a_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
