@@ -86,7 +86,7 @@ _A_NAME = "CASE sec WHEN 1 THEN 'Payments and Other Credits' WHEN 2 THEN 'Purcha
 
 
 @query("statements_layout_a", f"""SELECT concat('A', k) AS file_sha256, {_ORDINAL} AS ordinal, CAST(d + INTERVAL 1 DAY AS DATE) AS posted_date, d AS transaction_date, {_TEXT} AS description_raw, {_SIGN} AS amount_minor, {_A_NAME} AS section,
-  CASE sec WHEN 1 THEN 'payment_or_refund' WHEN 3 THEN 'fee' ELSE CASE WHEN n = 3 THEN 'adjustment' ELSE 'purchase' END END AS kind_hint, CASE WHEN n = 6 THEN 4000 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'EUR' END AS fx_currency, CASE WHEN n = 6 THEN 1.125 END AS fx_rate FROM ({_BASE})""")
+  CASE sec WHEN 1 THEN 'payment_or_refund' WHEN 3 THEN 'fee' ELSE CASE WHEN n = 3 THEN 'adjustment' ELSE 'purchase' END END AS kind_hint, CASE WHEN n = 6 THEN 4000 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'EUR' END AS fx_currency, CASE WHEN n = 6 THEN CAST(1.125 AS DOUBLE) END AS fx_rate FROM ({_BASE})""")
 def _(s, d):
     return layouts.layout_a(_a_rows(s, d)).select(*_COLUMNS, "transaction_date", "fx_amount_minor", "fx_currency", "fx_rate")
 
@@ -120,7 +120,7 @@ def _b_rows(s, d) -> DataFrame:
 
 
 @query("statements_layout_b", f"""SELECT concat('B', k) AS file_sha256, row_number() OVER (PARTITION BY k ORDER BY least(sec, 2), nth) AS ordinal, d AS posted_date, {_TEXT} AS description_raw, {_SIGN} AS amount_minor, CASE sec WHEN 1 THEN 'PAYMENTS AND OTHER CREDITS' ELSE 'PURCHASES' END AS section,
-  CASE WHEN sec = 1 THEN 'payment_or_refund' WHEN n = 3 AND sec = 2 THEN 'adjustment' ELSE 'purchase' END AS kind_hint, CASE WHEN n = 6 THEN 3500 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'GBP' END AS fx_currency, CASE WHEN n = 6 THEN 1.2 END AS fx_rate FROM ({_BASE})""")
+  CASE WHEN sec = 1 THEN 'payment_or_refund' WHEN n = 3 AND sec = 2 THEN 'adjustment' ELSE 'purchase' END AS kind_hint, CASE WHEN n = 6 THEN 3500 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'GBP' END AS fx_currency, CASE WHEN n = 6 THEN CAST(1.2 AS DOUBLE) END AS fx_rate FROM ({_BASE})""")
 def _(s, d):
     return layouts.layout_b(_b_rows(s, d)).select(*_COLUMNS, "fx_amount_minor", "fx_currency", "fx_rate")
 
@@ -143,7 +143,7 @@ def _c_rows(s, d) -> DataFrame:
 
 
 @query("statements_layout_c", f"""SELECT concat('C', k) AS file_sha256, row_number() OVER (PARTITION BY k ORDER BY least(sec, 2), nth) AS ordinal, d AS posted_date, {_TEXT} AS description_raw, {_SIGN} AS amount_minor, CASE sec WHEN 1 THEN 'PAYMENTS AND CREDITS' ELSE 'PURCHASES' END AS section,
-  CASE WHEN sec = 1 THEN 'payment_or_refund' ELSE 'purchase' END AS kind_hint, CASE WHEN sec > 1 AND n <> 2 THEN 'Gas Stations' END AS issuer_category, CASE WHEN n = 6 THEN 12500 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'EUR' END AS fx_currency, CASE WHEN n = 6 THEN 1.087 END AS fx_rate FROM ({_BASE})""")
+  CASE WHEN sec = 1 THEN 'payment_or_refund' ELSE 'purchase' END AS kind_hint, CASE WHEN sec > 1 AND n <> 2 THEN 'Gas Stations' END AS issuer_category, CASE WHEN n = 6 THEN 12500 END AS fx_amount_minor, CASE WHEN n = 6 THEN 'EUR' END AS fx_currency, CASE WHEN n = 6 THEN CAST(1.087 AS DOUBLE) END AS fx_rate FROM ({_BASE})""")
 def _(s, d):
     return layouts.layout_c(_c_rows(s, d)).select(*_COLUMNS, "issuer_category", "fx_amount_minor", "fx_currency", "fx_rate")
 
@@ -206,7 +206,7 @@ _G_READ = f"""(SELECT *, row_number() OVER (PARTITION BY k ORDER BY nth) AS ordi
   SELECT *, count(*) OVER p AS c, count(*) FILTER (n = 5 AND nth % 3 = 0 AND nth < top) OVER p AS more FROM (SELECT *, (nth - 1) // {_PER_PAGE} AS page, max(nth) OVER (PARTITION BY k, (nth - 1) // {_PER_PAGE}) AS top FROM ({_BASE})) WINDOW p AS (PARTITION BY k, page)) WHERE c + more >= 3 AND c >= 0.6 * (c + more))"""
 
 
-@query("statements_generic", f"SELECT concat('G', k) AS file_sha256, ordinal, d AS posted_date, concat(shop, CASE WHEN n = 5 AND nth % 3 = 0 THEN ' second line' ELSE '' END) AS description_raw, {_SIGN} AS amount_minor, NULL AS section, NULL AS kind_hint FROM {_G_READ} WHERE whole >= 3")
+@query("statements_generic", f"SELECT concat('G', k) AS file_sha256, ordinal, d AS posted_date, concat(shop, CASE WHEN n = 5 AND nth % 3 = 0 THEN ' second line' ELSE '' END) AS description_raw, {_SIGN} AS amount_minor, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS kind_hint FROM {_G_READ} WHERE whole >= 3")
 def _(s, d):
     return layouts.generic(_g_rows(s, d)).select(*_COLUMNS)
 
@@ -223,7 +223,7 @@ def _(s, d):
     return layouts.issuer_of(_g_rows(s, d), terms)
 
 
-@query("statement_detection", f"SELECT concat(p, k) AS file_sha256, parser_id, score AS detect_score FROM (SELECT DISTINCT k FROM ({_BASE})), (VALUES ('A', 'layout_a_credit', 0.9), ('B', 'layout_b_credit', 0.95), ('C', 'layout_c_credit', 0.9), ('D', 'layout_d_bank', 0.9), ('G', 'generic_table', 0.0)) v(p, parser_id, score)")
+@query("statement_detection", f"SELECT concat(p, k) AS file_sha256, parser_id, CAST(score AS DOUBLE) AS detect_score FROM (SELECT DISTINCT k FROM ({_BASE})), (VALUES ('A', 'layout_a_credit', 0.9), ('B', 'layout_b_credit', 0.95), ('C', 'layout_c_credit', 0.9), ('D', 'layout_d_bank', 0.9), ('G', 'generic_table', 0.0)) v(p, parser_id, score)")
 def _(s, d):
     every = _a_rows(s, d)
     for more in (_b_rows, _c_rows, _d_rows, _g_rows):
