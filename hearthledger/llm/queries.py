@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    byte_bpe, decontamination, html_extraction, jaccard_join, language_id, quality_classifier, quality_rules,
-    sharding, token_counts, url_filters,
+    byte_bpe, clustering, decontamination, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules,
+    sharding, token_counts, url_filters, whitening,
 )
 
 QUERIES = {
@@ -20,6 +20,9 @@ QUERIES = {
         html_extraction.op8_html_extraction,
         jaccard_join.op9_jaccard_join,
         quality_rules.op10_quality_rules,
+        whitening.op11_embedding_whitening,
+        clustering.op12_centroid_clustering,
+        mixing.op13_source_mixing,
     )
 }
 
@@ -27,4 +30,6 @@ SQL = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op4_url_filters": url_filters.OP4_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
+    "op12_centroid_clustering": clustering.OP12_SQL,
+    "op13_source_mixing": mixing.OP13_SQL,
 }
