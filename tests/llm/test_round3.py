@@ -185,7 +185,7 @@ def test_mixing_is_near_with_few_and_many_sources(spark, monkeypatch, limit):
     got = mixing.mix(docs.repartition(3)).toPandas()
     assert oracle.differences(got, want) == ""
     sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert (abs(sums["taken"] - sums["target"]) <= 0.001 * sums["target"] + 1).all()
+    assert (abs(sums["taken"] - sums["target"]) <= 0.02 * sums["target"]).all()  # 50 documents a source
 
 
 def test_mixing_of_equal_rows_and_nested_budgets(spark):
