@@ -5,14 +5,18 @@ Column expressions, but for NFKC, which Spark has no function for.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hearthledger.functions.columns import let
 from hearthledger.functions.text import squeezed
 
 # Shapes that a clean description must not have.
@@ -52,59 +56,133 @@ def forbidden(clean: Column) -> Column:
 
 def entries(*sources: Iterable) -> list[str]:
     """Entries of several lists, stripped, without blanks and later spellings of one."""
-    out: dict[str, str] = {}
-    for value in (v.strip() for source in sources for v in source if isinstance(v, str)):
-        if value:
-            out.setdefault(value.casefold(), value)
-    return list(out.values())
-
-
-def _shape_of(entry: str) -> tuple[str, str, str, str]:
-    """(what must not stand before it, the entry as an expression, what must not follow, its token)."""
-    digits = re.sub(r"\D", "", entry)
-    if len(digits) >= 4 and re.fullmatch(r"[\d .()+/-]+", entry):
-        core = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
-        gap = r"[\s().+\-/]*"
-        body = gap.join(core)
-        token = "[PHONE]" if len(digits) in (10, 11) else "[NUMBER]"
-        if len(core) == 10:  # with or without the country code
-            return "", rf"(?:(?<!\d)(?:\+\s*)?1{gap}|\(?(?<!\d)){body}", r"(?!\d)", token
-        return "", rf"\(?(?<!\d){body}", r"(?!\d)", token
-    words = [w for w in re.split(r"[\s,]+", entry) if w.rstrip(".")]
-    bare = [w.rstrip(".") for w in words]
-    quoted = [re.sub(r"([^\w\s])", r"\\\1", w) for w in bare]
-    if words and words[-1].endswith("."):
-        quoted[-1] += r"\.?"
-    gap, initial = r"[\s,.]+", r"(?:[\s,.]+\p{L}\.?)?"
-    forms, token = [gap.join(quoted)], "[REDACTED]"
-    if 2 <= len(bare) <= 3 and all(re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", w) for w in bare):
-        # A name: also with a middle initial, and last name first.
-        token = "[NAME]"
-        forms = [quoted[0] + initial + gap + quoted[1] if len(bare) == 2 else forms[0], gap.join([quoted[-1], *quoted[:-1]]) + initial]
-    return r"(?<!\w)", f"(?:{'|'.join(forms)})", r"(?!\w)", token
+    every = [v.strip() for v in chain.from_iterable(sources) if isinstance(v, str) and v.strip()]
+    first_at = {v.casefold(): i for i, v in reversed(list(enumerate(every)))}
+    return [every[i] for i in sorted(first_at.values())]
+
+
+#: A text as an array: runs of digits, runs of other word characters, and what stands between them.
+_TOKENS = r"(?U)\d+|[\w&&[^\d]]+|\W+"
+TOKENS_OF_ENTRIES = ("[PHONE]", "[NUMBER]", "[NAME]", "[REDACTED]")
+#: Parts of a form other than a token as it stands: any white space and commas and full stops; one letter.
+_GAP, _LETTER = "\x01", "\x02"
+
+
+@dataclass(frozen=True)
+class _Entry:
+    """What stands for one entry: digits (written with any separators), or forms, each a sequence of tokens."""
+
+    token: str
+    digits: tuple[str, ...] = ()
+    forms: tuple[tuple, ...] = ()
+
+
+def _entry(text: str) -> _Entry | None:
+    tokens = re.findall(r"\d+|[^\W\d]+|\W+", text.lower())
+    words = [t for t in tokens if re.match(r"\w", t)]
+    number = "".join(words)
+    if len(number) >= 4 and number.isdecimal() and not set(text) - set(_SEPARATORS) - set(number):
+        plain = number.removeprefix("1") if len(number) == 11 else number
+        # A number of ten digits is the same with the country's 1 before it.
+        return _Entry("[PHONE]" if len(number) in (10, 11) else "[NUMBER]", digits=(plain, "1" + plain) if len(plain) == 10 else (plain,))
+    # Names part at white space, commas and full stops; what else stands between two words (O'Neil, A&B) must be there.
+    names: list[list] = [[]]
+    for t in tokens:
+        if re.fullmatch(r"[\s,.]+", t):
+            names.append([])
+        else:
+            names[-1].append(t)
+    names = [n for n in names if any(re.match(r"\w", t) for t in n)]
+    if not names:
+        return None
+    while not re.match(r"\w", names[0][0]):
+        names[0].pop(0)
+    while not re.match(r"\w", names[-1][-1]):
+        names[-1].pop()
+
+    def sequence(*parts) -> tuple:
+        out: list = []
+        for part in parts:
+            out += [_GAP] * bool(out) + (part if isinstance(part, list) else [part])
+        return tuple(out)
+
+    if len(names) in (2, 3) and not any(t.isdecimal() or "&" in t or "_" in t for n in names for t in n):
+        *first, last = names
+        forms = [sequence(last, *first, _LETTER), sequence(last, *first), sequence(*names)]
+        if len(first) == 1:
+            forms.insert(0, sequence(*first, _LETTER, last))
+        return _Entry("[NAME]", forms=tuple(forms))
+    return _Entry("[REDACTED]", forms=(sequence(*names),))
+
+
+_SEPARATORS = " .()+-/"
 
 
 def personal(text: Column, own: Iterable[str]) -> Column:
     """A struct of the text with a user's entries replaced (`text`) and how often by each token (`counts`, a map).
 
-    The longest entry goes first, and what was replaced is not searched again: matches of all entries at once are marked, and each is
-    given the token of the first entry that it fits. Entries of one character do not count.
+    Text and entries are compared token by token, without case. The longest entry goes first, and what was replaced is not searched again. Entries of one
+    character, and those without a letter or digit, do not count; signs around an entry are no part of it, but the brackets and the plus of a number go with it, and so does the
+    full stop of an initial. Digits may stand next to letters; words may not go on.
     """
-    shapes = [_shape_of(e) for e in sorted((e for e in entries(own) if len(e) >= 2), key=len, reverse=True)]
-    tokens = ("[PHONE]", "[NUMBER]", "[NAME]", "[REDACTED]")
-    if not shapes:
-        return F.struct(text.alias("text"), F.create_map(*[x for t in tokens for x in (F.lit(t), F.lit(0))]).alias("counts"))
-    all_ = "(?iU)" + "|".join(f"(?:{before}{body}{after})" for before, body, after, _ in shapes)
-
-    def token_of(found: Column) -> Column:
-        return F.coalesce(*[F.when(found.rlike(rf"(?iU)^{body}$"), token) for _, body, _, token in shapes], F.lit("[REDACTED]"))
-
-    first, pieces = _pieces(text, all_)
-    named = F.transform(pieces, lambda p: F.struct(token_of(p["found"]).alias("token"), p["rest"].alias("rest")))
-    replaced = F.concat(first, F.array_join(F.transform(named, lambda p: F.concat(p["token"], p["rest"])), ""))
-    of = lambda token: F.size(F.filter(named, lambda p: p["token"] == token))
-    counts = F.create_map(*[x for t in tokens for x in (F.lit(t), of(t))])
-    return F.struct(replaced.alias("text"), counts.alias("counts"))
+    known = [e for e in map(_entry, sorted((e for e in entries(own) if len(e) >= 2), key=len, reverse=True)) if e]
+    none = F.create_map(*[x for t in TOKENS_OF_ENTRIES for x in (F.lit(t), F.lit(0))])
+    if not known:
+        return F.struct(text.alias("text"), none.alias("counts"))
+    rows = [{"token": e.token, "number": number, "parts": list(parts)} for e in known for number, all_ in ((True, [(x,) for x in e.digits]), (False, e.forms)) for parts in all_]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<token: string, number: boolean, parts: array<string>>>")
+    is_word = lambda t: F.coalesce(t.rlike(r"(?U)^\w"), F.lit(False))
+
+    def fits(low: Column, i: Column, parts: Column) -> Column:
+        """How many tokens from i on are these parts; 0 if they are not."""
+
+        def wrong(part: Column, j: Column) -> Column:
+            t = F.get(low, i + j)
+            return ~F.coalesce(F.when(part == _GAP, t.rlike(r"^[\s,.]+$")).when(part == _LETTER, t.rlike(r"^\p{L}$")).otherwise(t == part), F.lit(False))
+
+        alone = (parts[0].rlike(r"^\d") | ~is_word(F.get(low, i - 1))) & ~is_word(F.get(low, i + F.size(parts)))
+        return F.when((F.get(low, i) == parts[0]) & alone & ~F.exists(F.transform(parts, wrong), lambda x: x), F.size(parts)).otherwise(0)
+
+    def reach(low: Column, i: Column, digits: Column) -> Column:
+        """How many tokens from i on are the digits, with separators between; 0 if they are not."""
+        start = F.struct(F.lit("").alias("seen"), F.lit(0).alias("n"), F.lit(0).alias("hit"))
+
+        def step(acc: Column, t: Column) -> Column:
+            seen = F.when(t.rlike(r"^\d+$"), F.concat(acc["seen"], t)).when(t.rlike(r"^[\s().+\-/]+$"), acc["seen"])
+            on = F.struct(seen.alias("seen"), (acc["n"] + 1).alias("n"), F.when(seen == digits, acc["n"] + 1).otherwise(0).alias("hit"))
+            return F.when((acc["hit"] > 0) | acc["seen"].isNull(), acc).otherwise(on)
+
+        begins = F.coalesce(digits.startswith(F.get(low, i)) & F.get(low, i).rlike(r"^\d"), F.lit(False))
+        return F.when(begins, F.aggregate(F.slice(low, i + 1, F.length(digits) * 2), start, step)["hit"]).otherwise(0)
+
+    def found(low: Column, i: Column) -> Column:
+        def tried(row: Column) -> Column:
+            n = F.when(row["number"], reach(low, i, row["parts"][0])).otherwise(fits(low, i, row["parts"]))
+            return F.struct(i.alias("at"), n.alias("n"), row["token"].alias("token"), row["number"].alias("number"), (F.element_at(row["parts"], -1) == _LETTER).alias("dot"))
+
+        begins = lambda row: F.when(row["number"], row["parts"][0].startswith(F.get(low, i))).otherwise(row["parts"][0] == F.get(low, i))
+        return F.when(is_word(F.get(low, i)), F.get(F.filter(F.transform(F.filter(table, begins), tried), lambda m: m["n"] > 0), F.lit(0)))
+
+    def replaced(pieces: Column) -> Column:
+        matches = let(F.transform(pieces, F.lower), lambda low: F.array_compact(F.transform(low, lambda _, i: found(low, i))))
+        begin = F.struct(F.lit(0).alias("end"), F.slice(matches, 1, 0).alias("kept"))
+        ends = lambda m: m["at"] + m["n"]
+        kept = F.aggregate(matches, begin, lambda acc, m: F.when(m["at"] >= acc["end"], F.struct(ends(m).alias("end"), F.concat(acc["kept"], F.array(m)).alias("kept"))).otherwise(acc))["kept"]
+
+        def assembled(k: Column) -> Column:
+            before = lambda i: F.coalesce(ends(F.get(k, i - 1)), F.lit(0))
+            after_dot = lambda i, t: F.when(F.coalesce(F.get(k, i - 1)["dot"], F.lit(False)), F.regexp_replace(t, r"^\.", "")).otherwise(t)
+            rest = lambda i, end: after_dot(i, F.array_join(F.slice(pieces, before(i) + 1, F.greatest(end - before(i), F.lit(0))), ""))
+            opened = lambda m, t: F.when(m["number"], F.regexp_replace(t, r"(?:\+\s*)?\(?$", "")).otherwise(t)
+            parts = F.transform(k, lambda m, i: F.concat(opened(m, rest(i, m["at"])), m["token"]))
+            whole = F.concat(F.array_join(parts, ""), rest(F.size(k), F.size(pieces)))
+            of = lambda token: F.size(F.filter(k, lambda m: m["token"] == token))
+            counts = F.create_map(*[x for t in TOKENS_OF_ENTRIES for x in (F.lit(t), of(t))])
+            return F.struct(F.when(text.isNotNull(), whole).alias("text"), counts.alias("counts"))
+
+        return let(kept, assembled)
+
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKENS), F.lit(0)), replaced)
 
 
 def _pieces(text: Column, shape: str) -> tuple[Column, Column]:

@@ -129,14 +129,19 @@ def _(s, d):
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", privacy.forbidden(F.col("text")).alias("shape"))
 
 
-# Names, numbers and addresses of a user inside descriptions.
-_OWN = ["Jane Roe", "555 010 7788", "Elm Court 5", "40012345"]
-_LINES = """SELECT o_orderkey AS id, concat('To ', CASE o_orderkey % 8 WHEN 0 THEN 'JANE ROE' WHEN 1 THEN 'Roe, Jane' WHEN 2 THEN 'Jane Q. Roe' WHEN 3 THEN '(555) 010-7788' WHEN 4 THEN '+1 5550107788' WHEN 5 THEN 'elm court 5' WHEN 6 THEN '4001-2345' ELSE 'Janet Roeper' END, ' ref ', CAST(o_custkey AS VARCHAR(20))) AS line FROM orders"""
+# A user's own entries: names of the first parts and numbers of the first customers; lines hold those and others, in several spellings.
+_OWN = "SELECT DISTINCT p_name AS entry FROM part WHERE p_partkey < 6 UNION ALL SELECT concat('555-', CAST(100 + c_custkey AS VARCHAR(9)), '-', CAST(2000 + c_custkey AS VARCHAR(9))) AS entry FROM customer WHERE c_custkey < 6 UNION ALL SELECT concat('Flat ', CAST(s_suppkey AS VARCHAR(9)), ' ', CAST(s_nationkey AS VARCHAR(9))) AS entry FROM supplier WHERE s_suppkey < 3"
+_PEOPLE = """SELECT o_orderkey AS id, o_custkey AS ref, CAST(o_orderkey % 9 AS INT) AS way, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, CAST(100 + o_custkey % 14 AS VARCHAR(9)) AS x, CAST(2000 + o_custkey % 14 AS VARCHAR(9)) AS y, p_name AS name, CAST(s_suppkey AS VARCHAR(9)) AS flat, CAST(s_nationkey AS VARCHAR(9)) AS door
+  FROM orders JOIN part ON p_partkey = o_orderkey % 60 JOIN supplier ON s_suppkey = o_orderkey % 7"""
+_LINES = f"""SELECT id, ref, way, name, x, y, flat, door, concat('To ', CASE way WHEN 0 THEN upper(name) WHEN 1 THEN concat(b, ', ', a) WHEN 2 THEN concat(a, ' Q. ', b) WHEN 3 THEN concat(a, 's ', b) WHEN 4 THEN concat('(555) ', x, '.', y) WHEN 5 THEN concat('+1 555', x, y)
+  WHEN 6 THEN concat('x555 ', x, ' / ', y) WHEN 7 THEN concat('flat ', flat, ', ', door) ELSE concat(b, ' ', a, ' R.') END, ' ref ', CAST(ref AS VARCHAR(20))) AS line FROM ({_PEOPLE}) p"""
 
 
-@query("personal_entries", f"""WITH l AS ({_LINES}) SELECT id, concat('To ', CASE id % 8 WHEN 3 THEN '[PHONE]' WHEN 4 THEN '[PHONE]' WHEN 5 THEN '[REDACTED]' WHEN 6 THEN '[NUMBER]' WHEN 7 THEN 'Janet Roeper' ELSE '[NAME]' END, ' ref ', split_part(line, ' ref ', 2)) AS line, CASE WHEN id % 8 < 3 THEN 1 ELSE 0 END AS n_names FROM l""")
+@query("personal_entries", f"""WITH l AS ({_LINES}), own AS ({_OWN}), e AS (SELECT *, CASE WHEN way IN (0, 1, 2, 8) THEN CASE WHEN name IN (FROM own) THEN '[NAME]' END WHEN way IN (4, 5, 6) THEN CASE WHEN concat('555-', x, '-', y) IN (FROM own) THEN concat(CASE way WHEN 6 THEN 'x' ELSE '' END, '[PHONE]') END WHEN way = 7 THEN CASE WHEN concat('Flat ', flat, ' ', door) IN (FROM own) THEN '[REDACTED]' END END AS token FROM l)
+SELECT id, CASE WHEN token IS NULL THEN line ELSE concat('To ', token, ' ref ', CAST(ref AS VARCHAR)) END AS line, CASE WHEN token = '[NAME]' THEN 1 ELSE 0 END AS n_names FROM e""")
 def _(s, d):
-    return frame(s, d, _LINES).select("id", privacy.personal(F.col("line"), _OWN).alias("_p")).select("id", F.col("_p.text").alias("line"), F.col("_p.counts")["[NAME]"].alias("n_names"))
+    own = [r["entry"] for r in frame(s, d, _OWN).collect()]  # a user's own, a dozen
+    return frame(s, d, _LINES).select("id", privacy.personal(F.col("line"), own).alias("_p")).select("id", F.col("_p.text").alias("line"), F.col("_p.counts")["[NAME]"].alias("n_names"))
 
 
 _STORES = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'AMZN Mktp US order' WHEN 1 THEN 'WAL-MART SUPERCENTER 12' WHEN 2 THEN 'uber eats x' WHEN 3 THEN 'UBER TRIP' WHEN 4 THEN 'sbux amzn' WHEN 5 THEN 'corner shop' ELSE 'x netflix.com netflix' END AS line FROM orders"""
