@@ -5,14 +5,14 @@ of like groups of siblings, fold into repeated groups. The wrapper of a host sta
 page and is aligned with the next pages in turn: elements that only one side has become
 optional, a run against a single element becomes repeated, and texts that differ become
 slots; elements whose class or id words differ (a post's slug, a body's category) become one of the words in common. So a wrapper is an expression of tags, `()+`, `()?` and slots, without unions. Its slots are then
-marked: main text or chrome, by element names, class words, link density and the share of the page's
-varying text. To extract, a page is matched with its host's wrapper in page order, and the text of main
+marked: main text or chrome, by element names, by the share of the page's varying text, and last by class words: these count only where they are a whole class or id (`sidebar`, `site-footer`; not `has-sidebar`,
+`related-work`), never for html, body, main and article, and not for a part that holds most of a host's varying text, unless it is one of comments. To extract, a page is matched with its host's wrapper in page order, and the text of main
 slots is taken; an element that the wrapper does not know is judged by its own name and class. A page in which
 its host's wrapper finds no main part is read with the wrapper of that page alone.
 
-A host's wrapper comes from all of its pages: each task folds its pages into one partial wrapper for each structure,
-partial wrappers are merged in `SALTS` parts of a host and then for the host, in the order of the structures, so that it
-does not matter how pages are dealt out. No html is shuffled. More than `CHILDREN` different parts of one element become one
+A host's wrapper comes from all of its pages: each task folds its pages into one partial wrapper for each structure;
+partial wrappers are then folded as a tree, about `FAN` of a host at a time, in the order of the structures, so that it
+does not matter how pages are dealt out. A task folds its sorted rows one after the other, so that it holds one wrapper however many a host has. No html is shuffled. More than `CHILDREN` different parts of one element become one
 repeated group without an order. Elements deeper than `DEPTH` become siblings at that depth, as in browsers (which stop at 512), so that no
 page is too deep to be read; their texts stay where they are. All pages are extracted, whole. Wrappers are broadcast while
 their number and size stay below `MAX_HOSTS` and `MAX_BYTES`; beyond that they are joined by host with a salt, so that a host
@@ -50,6 +50,8 @@ PARTS = 200_000
 MAX_HOSTS = 20_000
 MAX_BYTES = 64 << 20
 SALTS = 32
+#: Partial wrappers of a host that a task folds into one, about.
+FAN = 64
 ROWS = 300
 
 # Fixed values of HTML: elements without content, of raw content, in the line of text, and those that an open one ends at.
@@ -61,6 +63,11 @@ WALLS = set("table ul ol dl article section div main body html td th nav aside f
 # Elements and class words of what is not the article.
 CHROME = set("nav footer aside form script style noscript template iframe svg button select textarea head title menu dialog object canvas".split())
 CHROME_WORDS = set("ad ads advert adverts advertisement banner cookie cookies consent notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social related recommended promo promotion sponsor sponsored newsletter subscribe subscription login signup search widget toolbar".split())
+#: Words that may stand beside one of these in a class or id.
+BESIDE = set("site area list box block section wrap wrapper container bar button buttons link links posts items item slot left right top bottom inner outer primary secondary global".split())
+#: Of chrome words those of readers' comments, which no share of the text overrules, and those that inside an article name a part of it.
+COMMENTS = {"comment", "comments", "reply", "replies", "disqus"}
+HEADS = {"header", "masthead", "banner"}
 MAIN = {"article", "main"}
 #: Elements of which a place has one kind: they are the same part whatever their words.
 SINGLE = MAIN | {"html", "body"}
@@ -80,11 +87,15 @@ class Element:
 
 
 def signature(tag: str, attributes: str) -> str:
-    """The tag with the words of its class and id, without digits."""
+    """The tag with the words of its class and id, without digits; `~word` stands for a class or id that names chrome."""
     words: set[str] = set()
     if attributes:
         for _, value in _ATTRIBUTE.findall(attributes):
-            words |= {w for w in re.split(r"[^a-z]+", entities.unescape(value).lower()) if w}
+            for name in entities.unescape(value).lower().strip("\"'").split():
+                own = [w for w in re.split(r"[^a-z]+", name) if w]
+                words |= set(own)
+                if not CHROME_WORDS.isdisjoint(own) and all(w in CHROME_WORDS or w in BESIDE for w in own):
+                    words |= {f"~{w}" for w in own if w in CHROME_WORDS}
     return ".".join([tag, *sorted(words)])
 
 
@@ -175,7 +186,7 @@ def bounded(kids: list[dict]) -> list[dict]:
     """Too many parts become one repeated group of optional ones: by signature, by name and chrome words if these are too many, then by whether they are chrome."""
     if len(kids) <= CHILDREN:
         return kids
-    for key in (lambda s: s, lambda s: (s.split(".")[0], tuple(w for w in s.split(".")[1:] if w in CHROME_WORDS)), lambda s: is_chrome(s, False)):
+    for key in (lambda s: s, lambda s: (s.split(".")[0], tuple(w for w in s.split(".")[1:] if w[0] == "~")), lambda s: is_chrome(s, False)):
         found: dict = {}
         for k in flat(kids):
             at = key(k["s"])
@@ -262,9 +273,15 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
 
 @lru_cache(1 << 16)
 def is_chrome(sign: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: it stands in one."""
+    """Whether an element by its name or class is no part of an article; inside: it stands in one."""
     tag, *words = sign.split(".")
-    return tag in CHROME or (tag == "header" and not inside) or (tag not in MAIN and not CHROME_WORDS.isdisjoint(words))
+    return tag in CHROME or (tag == "header" and not inside) or (tag not in SINGLE and any(w[0] == "~" and not (inside and w[1:] in HEADS) for w in words))
+
+
+def by_name(sign: str) -> bool:
+    """Whether the element's own name, or a class of comments, makes it chrome: no share of the text overrules that."""
+    tag, *words = sign.split(".")
+    return tag in CHROME or tag == "header" or (tag not in SINGLE and any(w[0] == "~" and w[1:] in COMMENTS for w in words))
 
 
 def infer(pages: list[str]) -> dict:
@@ -279,14 +296,29 @@ def infer(pages: list[str]) -> dict:
 def marks(wrapper: dict, several: bool) -> dict:
     """The wrapper with its parts marked; several: what does not vary is of more than two pages."""
 
+    held: dict[int, float] = {}
+
+    def weigh(w: dict) -> float:
+        """Varying text that is no link, of a part and those in it but for chrome by name; what all pages share counts nothing."""
+        own = w["m"] - w["l"] if w["v"] or w["r"] or not several else 0
+        below = sum([weigh(k) for k in w["k"]])
+        held[id(w)] = 0 if by_name(w["s"]) else own + below
+        return held[id(w)]
+
+    all_text = weigh(wrapper)
+
+    def chrome(w: dict, inside: bool) -> bool:
+        """Words of a class do not bar a part that holds most of the text."""
+        return is_chrome(w["s"], inside) and (by_name(w["s"]) and not (inside and w["s"].split(".")[0] == "header") or 2 * held[id(w)] <= all_text)
+
     def mains(w: dict) -> list[dict]:
-        if is_chrome(w["s"], False):
+        if chrome(w, False):
             return []
         return [w] if w["s"].split(".")[0] in MAIN else [x for k in w["k"] for x in mains(k)]
 
     def mass(w: dict) -> float:
-        """Varying text that is no link; what all pages share counts nothing."""
-        if is_chrome(w["s"], False):
+        """What weigh counts, without all chrome."""
+        if chrome(w, False):
             return 0
         own = w["m"] - w["l"] if w["v"] or w["r"] or not several else 0
         return own + sum(map(mass, w["k"]))
@@ -302,7 +334,7 @@ def marks(wrapper: dict, several: bool) -> dict:
     def marked(w: dict, inside: bool, group: bool = False) -> dict:
         chosen = group or any(w is x for x in found)
         inside = inside or chosen
-        keep = False if is_chrome(w["s"], inside) else True if chosen else None
+        keep = False if chrome(w, inside) else True if chosen else None
         return {"s": w["s"], "k": [marked(k, inside, chosen and w["s"] == "()") for k in w["k"]], "o": w["o"], "r": w["r"], "keep": keep}
 
     return marked(wrapper, False)
@@ -389,28 +421,40 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_
                 found, total = {}, 0
         yield rows(found)
 
-    def one_of(pdf: pd.DataFrame) -> tuple[list[int], dict]:
-        wrapper, seen = None, set()
-        for some, partial in zip(*(pdf.sort_values(["shape", "partial"])[c] for c in ("seen", "partial"))):
-            seen |= set(map(int, some))
-            part = json.loads(partial)
-            wrapper = part if wrapper is None else merged(wrapper, part)
-        return sorted(seen)[:3], wrapper
-
-    def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, wrapper = one_of(pdf)
-        return pd.DataFrame({"host": pdf["host"][:1].tolist(), "shape": [pdf["shape"].min()], "seen": [seen], "partial": [json.dumps(wrapper)]})
-
-    def of_host(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, wrapper = one_of(pdf)
-        return pd.DataFrame({"host": pdf["host"][:1].tolist(), "wrapper": [json.dumps(marks(wrapper, len(seen) > 2))]})
+    def merged_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for each (host, _part) of rows that are sorted by these and their structure."""
+        now, out = None, None
+        for pdf in batches:
+            for host, part, form, some, partial in zip(pdf["host"], pdf["_part"], pdf["shape"], pdf["seen"], pdf["partial"]):
+                one = json.loads(partial)
+                if now == (host, part):
+                    first, seen, wrapper = out
+                    out = first, set(sorted({*seen, *map(int, some)})[:3]), merged(wrapper, one)
+                    continue
+                if now is not None:
+                    yield rows({(now[0], out[0]): out[1:]})
+                now, out = (host, part), (form, set(map(int, some)), one)
+        if now is not None:
+            yield rows({(now[0], out[0]): out[1:]})
 
     all_ = pages.select(
         host_of(url_col).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("hash"), F.col(html_col).alias("html")
     ).where(F.length("html") > 0)
     partial = all_.mapInPandas(folds, schema)
-    partial = partial.groupBy("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("_part")).applyInPandas(of_part, schema)
-    return written(partial.groupBy("host").applyInPandas(of_host, "host string, wrapper string"), "html-wrappers")
+    partial = written(partial, "html-wrappers")
+    while True:
+        most = partial.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        if most <= 1:
+            break
+        part = F.pmod(F.xxhash64("shape"), F.lit(-(-most // FAN)))
+        dealt = partial.withColumn("_part", part).repartition("host", "_part").sortWithinPartitions("host", "_part", "shape", "partial")
+        partial = written(dealt.mapInPandas(merged_rows, schema), "html-wrappers")
+
+    @F.pandas_udf("string")
+    def marked(seen: pd.Series, partial: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(marks(json.loads(p), len(s) > 2)) for s, p in zip(seen, partial)], dtype=object)
+
+    return written(partial.select("host", marked("seen", "partial").alias("wrapper")), "html-wrappers")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
