@@ -12,6 +12,7 @@ from hearthledger.functions import privacy
 from hearthledger.functions.columns import let
 from hearthledger.functions.text import money_minor, squeezed
 from hearthledger.operators import tax_estimate
+from hearthledger.sources import tax_layout
 
 SEGMENT = ["file_sha256", "segment"]
 _ORDER = ("page_number", "row_number")
@@ -58,12 +59,13 @@ REQUIRED = {"w2": "1", "1099-int": "1", "1099-div": "1a", "1099-nec": "1"}
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
-    """rows without unreadable glyphs, dotted leaders and the header that a page repeats from the one before."""
+    """rows without unreadable glyphs, dotted leaders and the header that a page repeats from the one before, unless it begins a form."""
     text = F.regexp_replace(F.regexp_replace("text", r"\(cid:\d+\)", ""), r"(?:\s*\.){3,}\s*", " ")
     words = F.filter("words", lambda w: ~w["text"].rlike(r"^(?:\(cid:\d+\)|\.+)+$"))
     out = rows.withColumns({"text": squeezed(text), "words": words})
     top = F.row_number().over(Window.partitionBy("file_sha256", "page_number").orderBy("row_number")) == 1
-    sign = F.when(top, F.regexp_replace("text", r"\d+", "#"))
+    begins = F.col("text").rlike("|".join(f"(?:{shape})" for shape in (*HEADINGS.values(), tax_layout.W2_NUMBER)))
+    sign = F.when(top & ~begins, F.regexp_replace("text", r"\d+", "#"))
     tops = out.withColumn("_sign", sign)
     before = F.last(F.when(F.col("_sign").isNotNull(), F.col("_sign")), True).over(Window.partitionBy("file_sha256").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1))
     return tops.withColumn("_again", F.col("_sign").isNotNull() & F.col("_sign").eqNullSafe(before)).where("not _again").drop("_sign", "_again")

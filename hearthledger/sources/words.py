@@ -29,7 +29,7 @@ MIN_GAP = 8.0
 
 
 def rows_of(words: DataFrame) -> DataFrame:
-    """(file_sha256, page_number, row_number, words, text): words of a page by rows, both from the top and from the left.
+    """(file_sha256, page_number, row_number, words, top, text): words of a page by rows, both from the top and from the left.
 
     A word belongs to the row whose first word it is no further from than half the page's median height of words. A
     page is a bounded group: it holds what fits on a sheet.
@@ -45,8 +45,8 @@ def rows_of(words: DataFrame) -> DataFrame:
         return F.struct(F.when(same, acc["anchor"]).otherwise(w["top"]).alias("anchor"), n.alias("n"), F.concat(acc["rows"], F.array(n)).alias("rows"))
 
     numbered = pages.select(*PAGE, F.arrays_zip("_w", F.aggregate("_w", start, placed)["rows"].alias("_n")).alias("_z"))
-    each = numbered.select(*PAGE, F.explode("_z").alias("_z")).select(*PAGE, F.col("_z._n").alias("row_number"), F.struct("_z._w.x0", "_z._w.x1", "_z._w.text").alias("_w"))
-    out = each.groupBy(*ROW).agg(F.array_sort(F.collect_list("_w")).alias("words"))
+    each = numbered.select(*PAGE, F.explode("_z").alias("_z")).select(*PAGE, F.col("_z._n").alias("row_number"), F.struct("_z._w.x0", "_z._w.x1", "_z._w.text").alias("_w"), F.col("_z._w.top").alias("_t"))
+    out = each.groupBy(*ROW).agg(F.array_sort(F.collect_list("_w")).alias("words"), F.min("_t").alias("top"))
     return out.withColumn("text", joined(F.col("words")))
 
 
