@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions.text import money_plain
 from hearthledger.plans.registry import query
-from hearthledger.sources import layouts, words
+from hearthledger.sources import layouts, tax_readers, words
 from hearthledger.sources.fixtures import frame
 
 # A statement for each supplier and year: sections 1 to 3 by return flag, rows in order.
@@ -229,3 +229,21 @@ def _(s, d):
     for more in (_b_rows, _c_rows, _d_rows, _g_rows):
         every = every.unionByName(more(s, d))
     return layouts.detected(layouts.summaries(every))
+
+
+_EVERY = " UNION ALL ".join(
+    f"SELECT concat('{p}', k) AS file_sha256, {p_sql} AS ordinal, d AS posted_date, {a_sql} AS amount_minor, '{name}' AS parser_id, CAST({score} AS DOUBLE) AS detect_score, CAST(NULL AS VARCHAR) AS error FROM ({_BASE})"
+    for p, p_sql, a_sql, name, score in (
+        ("B", "row_number() OVER (PARTITION BY k ORDER BY least(sec, 2), nth)", _SIGN, "layout_b_credit", 0.95), ("C", "row_number() OVER (PARTITION BY k ORDER BY least(sec, 2), nth)", _SIGN, "layout_c_credit", 0.9), ("D", _ORDINAL, _D_SIGN, "layout_d_bank", 0.9),
+    )
+)
+
+
+@query("statement_dispatch", f"""{_EVERY} UNION ALL SELECT concat('A', k), {_ORDINAL}, CAST(d + INTERVAL 1 DAY AS DATE), {_SIGN}, 'layout_a_credit', 0.9, NULL FROM ({_BASE})
+UNION ALL SELECT concat('G', k), ordinal, d, {_SIGN}, 'generic_table', 0.0, NULL FROM {_G_READ} WHERE whole >= 3 UNION ALL SELECT DISTINCT concat('G', k), NULL, NULL, NULL, 'generic_table', 0.0, '{tax_readers.NO_LAYOUT}' FROM ({_BASE}) t WHERE k NOT IN (SELECT k FROM {_G_READ} WHERE whole >= 3)""")
+def _(s, d):
+    """A folder of statements of all layouts, each read by the reader detected for it."""
+    every = _a_rows(s, d)
+    for more in (_b_rows, _c_rows, _d_rows, _g_rows):
+        every = every.unionByName(more(s, d))
+    return tax_readers.statements(every).select("file_sha256", F.col("ordinal").cast("bigint").alias("ordinal"), "posted_date", "amount_minor", "parser_id", "detect_score", "error")

@@ -5,6 +5,8 @@ A file holds a few forms one below the other; forms side by side on a page are n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,16 @@ BOXES = {
         ("1", r"rents", "other", False, False, False), ("2", r"royalties", "other", False, False, False), ("3", r"other\s+income", "other", False, False, False),
         ("4", r"federal\s+income\s+tax\s+withheld", "federal_income_tax_withheld", True, False, False), ("16", r"state\s+tax\s+withheld", "state_income_tax_withheld", True, False, False),
     ),
+    "1099-oid": (
+        ("1", r"original\s+issue\s+discount", "interest", False, False, True), ("2", r"other\s+periodic\s+interest", "interest", False, False, True), ("8", r"oid\s+on\s+u\.?\s?s\.?\s+treasury\s+obligations", "interest", False, False, True),
+        ("4", r"federal\s+income\s+tax\s+withheld", "federal_income_tax_withheld", True, False, False),
+    ),
     "1099-b": (
         ("4", r"federal\s+income\s+tax\s+withheld", "federal_income_tax_withheld", True, False, False), ("16", r"state\s+income\s+tax\s+withheld", "state_income_tax_withheld", True, False, False),
     ),
 }
+# Fixed value: what begins an account of a broker's statement.
+ACCOUNT = r"(?i)^Account\s+(?:number|no\.?)\b"
 #: The box without which a form cannot be stored.
 REQUIRED = {"w2": "1", "1099-int": "1", "1099-div": "1a", "1099-nec": "1"}
 
@@ -64,7 +72,7 @@ def cleaned(rows: DataFrame) -> DataFrame:
     words = F.filter("words", lambda w: ~w["text"].rlike(r"^(?:\(cid:\d+\)|\.+)+$"))
     out = rows.withColumns({"text": squeezed(text), "words": words})
     top = F.row_number().over(Window.partitionBy("file_sha256", "page_number").orderBy("row_number")) == 1
-    begins = F.col("text").rlike("|".join(f"(?:{shape})" for shape in (*HEADINGS.values(), tax_layout.W2_NUMBER)))
+    begins = F.col("text").rlike("|".join(f"(?:{shape})" for shape in (*HEADINGS.values(), tax_layout.W2_NUMBER, ACCOUNT)))
     sign = F.when(top & ~begins, F.regexp_replace("text", r"\d+", "#"))
     tops = out.withColumn("_sign", sign)
     before = F.last(F.when(F.col("_sign").isNotNull(), F.col("_sign")), True).over(Window.partitionBy("file_sha256").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1))
@@ -104,10 +112,10 @@ def amount_after(text: Column, label: str) -> Column:
     return money_minor(F.get(found, F.lit(0)))
 
 
-def boxes(rows: DataFrame) -> DataFrame:
+def boxes(rows: DataFrame, forms: Sequence[str] = tuple(BOXES)) -> DataFrame:
     """(file_sha256, segment, form_type, box, amount_minor): of each box the first amount in its label's row, else that of the row below nearest to the label.
 
-    rows have segments. All labels of a form are searched in one pass over its rows.
+    rows have segments; of `forms` all others are left out. All labels of a form are searched in one pass over its rows.
     """
     w = Window.partitionBy(*SEGMENT).orderBy(*_ORDER)
     below = F.lead("words").over(w)
@@ -122,7 +130,7 @@ def boxes(rows: DataFrame) -> DataFrame:
         under = let(near, lambda n: F.when(n["d"] <= 60, n["v"]))
         return F.when(here, F.struct(F.lit(box).alias("box"), F.abs(F.coalesce(same, under)).alias("amount_minor")))
 
-    marks = [at(form, box, label) for form, known in BOXES.items() for box, label, *_ in known]
+    marks = [at(form, box, label) for form in forms for box, label, *_ in BOXES[form]]
     found = rows.withColumn("_below", below).select(*SEGMENT, "form_type", *_ORDER, F.explode(F.array_compact(F.array(*marks))).alias("_b"))
     first = F.min_by("_b.amount_minor", F.struct(*_ORDER))
     return found.where("_b.amount_minor is not null").groupBy(*SEGMENT, "form_type", F.col("_b.box").alias("box")).agg(first.alias("amount_minor"))

@@ -21,7 +21,7 @@ SAMPLE_HEIGHT = 120.0
 # Fixed values of columns without headings: the narrowest gap from an amount to the next label, how near gaps of rows must lie, rows that must agree, rows of a part that is cut.
 GUTTER, GUTTER_NEAR, GUTTER_ROWS, GUTTER_LEAST = 12.0, 6.0, 3, 6
 #: How often what is left above and below a cut is looked at again.
-GUTTER_LEVELS = 3
+GUTTER_LEVELS = 2
 #: Words of a heading at most; longer texts are running text.
 HEADING_WORDS = 14
 # What begins a form, and what only goes on with it.
