@@ -15,6 +15,7 @@ from hearthledger.functions.columns import let
 from hearthledger.functions.text import money_minor, squeezed
 from hearthledger.operators import tax_estimate
 from hearthledger.sources import tax_layout
+from hearthledger.sources.words import joined
 
 SEGMENT = ["file_sha256", "segment"]
 _ORDER = ("page_number", "row_number")
@@ -66,6 +67,80 @@ ACCOUNT = r"(?i)^Account\s+(?:number|no\.?)\b"
 REQUIRED = {"w2": "1", "1099-int": "1", "1099-div": "1a", "1099-nec": "1"}
 
 
+# Fixed values, in points: gaps within a heading printed letter by letter, at most; how much wider than the middle gap one between words is; how near a sign stands to its amount.
+GLYPH_GAP, WORD_GAP, SIGN_GAP = 12.0, 1.5, 8.0
+#: Single letters in a row that are a heading printed letter by letter.
+GLYPHS = 4
+_AMOUNT = r"^\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?$"
+INSTRUCTIONS = r"(?i)^(?:form\s+\S+\s+)?(?:general\s+)?(?:instructions?|notice)\s+(?:for|to)\s+(?:the\s+)?(?:recipient|employee|payer|filer)s?\b"
+
+
+def _merged(words: Column, goes_on) -> Column:
+    """Words of a row, with each for which goes_on(words, i) holds stuck to the one before."""
+
+    def parts(ws: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(ws, i), F.lit(False)))
+        stuck = lambda p: F.struct(p[0]["x0"].alias("x0"), F.element_at(p, -1)["x1"].alias("x1"), F.array_join(F.transform(p, lambda w: w["text"]), "").alias("text"))
+        return let(begins, lambda at: F.transform(at, lambda b, k: let(F.slice(ws, b + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - b), stuck)))
+
+    return F.when(F.size(words) > 0, let(words, parts)).otherwise(words)
+
+
+def despaced(words: Column) -> Column:
+    """Words of a row, with runs of single letters as words: they part where a gap is wider than the run's middle one."""
+    single = lambda w: F.length(w["text"]) == 1
+    gap = lambda ws, i: F.get(ws, i)["x0"] - F.get(ws, i - 1)["x1"]
+
+    def spelt(run: Column) -> Column:
+        gaps = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.size(run) - 1, F.lit(1))), lambda i: gap(run, i)))
+        middle = let(gaps, lambda g: F.get(g, F.floor((F.size(g) - 1) / 2).cast("int")))
+        letters = F.size(F.filter(run, lambda w: w["text"].rlike(r"^[\p{L}\d]$"))) * 2 > F.size(run)
+        is_spelt = (F.size(run) >= GLYPHS) & letters & F.forall(run, single)
+        return F.when(is_spelt, let(middle, lambda m: _merged(run, lambda ws, i: gap(ws, i) <= m * WORD_GAP))).otherwise(run)
+
+    def runs(ws: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | ~(single(F.get(ws, i)) & single(F.get(ws, i - 1)) & (gap(ws, i) <= GLYPH_GAP)))
+        return let(begins, lambda at: F.flatten(F.transform(at, lambda b, k: let(F.slice(ws, b + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - b), spelt))))
+
+    return F.when(F.size(words) > 0, let(words, runs)).otherwise(words)
+
+
+def glued(words: Column) -> Column:
+    """Words of a row, with signs and brackets at their amounts (`( 1,234.56 )`, `- 5.00`) and the letters of a 1099 at its number."""
+
+    def goes_on(ws: Column, i: Column) -> Column:
+        t = lambda k: F.get(ws, i + k)["text"]
+        gap = lambda k: F.get(ws, i + k)["x0"] - F.get(ws, i + k - 1)["x1"]
+        near = gap(0) < SIGN_GAP
+        opened = (t(-1) == "(") & t(0).rlike(_AMOUNT) & (t(1) == ")") & (gap(1) < SIGN_GAP)
+        closed = (t(0) == ")") & t(-1).rlike(_AMOUNT) & (t(-2) == "(") & (gap(-1) < SIGN_GAP)
+        signed = t(-1).isin("-", "\u2212", "\u2013") & t(0).rlike(_AMOUNT) & ((i == 1) | (gap(-1) > gap(0) + 0.5))
+        suffix = t(-1).endswith("1099") & (t(0).rlike(r"^-[A-Z]{1,4}$") | ((t(0) == "-") & t(1).rlike(r"^[A-Z]{1,4}$")))
+        letters = t(0).rlike(r"^[A-Z]{1,4}$") & (t(-1) == "-") & t(-2).endswith("1099")
+        return near & F.coalesce(opened | closed | signed | suffix | letters, F.lit(False))
+
+    return _merged(words, goes_on)
+
+
+def without_instructions(rows: DataFrame) -> DataFrame:
+    """rows without instructions: from their heading to the next row with an amount or the end of the page, and later pages of a file that have no amount."""
+    page = Window.partitionBy("file_sha256", "page_number")
+    ordered = page.orderBy("row_number")
+    priced = F.exists("words", lambda w: w["text"].rlike(r"\d[.,]\d") & money_minor(w["text"]).isNotNull())
+    rows = rows.withColumns({"_i": F.col("text").rlike(INSTRUCTIONS), "_a": priced})
+    rows = rows.withColumns({"_block": F.sum(F.col("_i").cast("int")).over(ordered), "_prose": F.max(F.col("_a").cast("int")).over(page) == 0})
+    since = F.max(F.col("_a").cast("int")).over(Window.partitionBy("file_sha256", "page_number", "_block").orderBy("row_number"))
+    told = F.max(F.col("_i").cast("int")).over(Window.partitionBy("file_sha256").orderBy("page_number").rangeBetween(Window.unboundedPreceding, -1)) == 1
+    rows = rows.withColumn("_out", ((F.col("_block") > 0) & (since == 0)) | (F.coalesce(told, F.lit(False)) & F.col("_prose")))
+    return rows.where("not _out").drop("_i", "_a", "_block", "_prose", "_out")
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """rows as the readers of forms want them: letter-spaced headings as words, signs at their amounts, no instructions, cleaned."""
+    own = rows.withColumn("words", glued(despaced(F.col("words")))).withColumn("text", joined(F.col("words")))
+    return cleaned(without_instructions(own))
+
+
 def cleaned(rows: DataFrame) -> DataFrame:
     """rows without unreadable glyphs, dotted leaders and the header that a page repeats from the one before, unless it begins a form."""
     text = F.regexp_replace(F.regexp_replace("text", r"\(cid:\d+\)", ""), r"(?:\s*\.){3,}\s*", " ")
