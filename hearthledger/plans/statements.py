@@ -9,6 +9,7 @@ from hearthledger.functions.text import money_plain
 from hearthledger.plans.registry import query
 from hearthledger.sources import layouts, tax_readers, words
 from hearthledger.sources.fixtures import frame
+from hearthledger.sources.tables import kept
 
 # A statement for each supplier and year: sections 1 to 3 by return flag, rows in order.
 _BASE = """SELECT *, row_number() OVER (PARTITION BY k, sec ORDER BY o, n, cents, shop, d) AS rn, row_number() OVER (PARTITION BY k ORDER BY o, n, cents, shop, d) AS nth FROM (
@@ -182,7 +183,7 @@ def _(s, d):
 @query("statement_balance_breaks", f"""WITH t AS (SELECT k, {_ORDINAL} AS ordinal, {_D_SIGN} AS a, CASE WHEN n % 3 = 0 THEN CAST({_D_BALANCE} AS BIGINT) END AS b FROM ({_BASE})), c AS (SELECT *, sum(a) OVER (PARTITION BY k ORDER BY ordinal) AS run, count(b) OVER (PARTITION BY k ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM t),
 p AS (SELECT k, g + 1 AS g, b AS before, run AS upto FROM c WHERE b IS NOT NULL) SELECT concat('D', c.k) AS file_sha256, ordinal, CAST(coalesce(before, 10000000) - (run - coalesce(upto, 0)) AS BIGINT) AS expected_minor, b AS balance_minor FROM c LEFT JOIN p ON p.k = c.k AND p.g = c.g WHERE b IS NOT NULL AND b <> coalesce(before, 10000000) - (run - coalesce(upto, 0))""")
 def _(s, d):
-    rows = _d_rows(s, d)
+    rows = kept(_d_rows(s, d), "statement-rows")
     return layouts.balance_breaks(layouts.layout_d(rows), layouts.summaries(rows))
 
 
@@ -231,6 +232,40 @@ def _(s, d):
     return layouts.detected(layouts.summaries(every))
 
 
+# Tables of any bank with a debit, a credit and a balance that only some rows have: what rows without one spend is owed to the next balance.
+def _h_rows(s, d) -> DataFrame:
+    base = frame(s, d, f"SELECT *, {_H_BALANCE} AS balance FROM ({_BASE}) t")
+    page, at = F.floor((F.col("nth") - 1) / _PER_PAGE) + 1, 10 + 2 * F.col("nth")
+    amount, shows = money_plain(F.col("cents")), F.col("nth") % 3 != 2
+    cells = [cell(0, _full("d")), cell(90, F.col("shop"))]
+    debit, credit, balance = cell(240, amount), cell(340, amount), cell(440, money_plain(F.col("balance").cast("bigint")))
+    is_debit = F.col("sec") > 1
+    lines = [
+        line(is_debit & shows, page, at, *cells, debit, balance), line(is_debit & ~shows, page, at, *cells, debit), line(~is_debit & shows, page, at, *cells, credit, balance), line(~is_debit & ~shows, page, at, *cells, credit),
+        line(F.col("nth") % _PER_PAGE == 1, page, 4, cell(0, "Date"), cell(90, "Details"), cell(240, "Debit"), cell(340, "Credit"), cell(440, "Balance")),
+    ]
+    return words.rows_of(_words(base, "H", lines, [line(F.lit(True), 1, 0, cell(0, "Your statement"))]))
+
+
+_H_SIGN = "CASE WHEN sec > 1 THEN cents ELSE -cents END"
+_H_BALANCE = f"50000000 - sum({_H_SIGN}) OVER (PARTITION BY k ORDER BY nth) + CASE WHEN n = 6 THEN 100 ELSE 0 END"
+_H_READ = f"(SELECT *, row_number() OVER (PARTITION BY k ORDER BY nth) AS ordinal FROM (SELECT *, count(*) OVER (PARTITION BY k) AS whole, CASE WHEN nth % 3 <> 2 THEN CAST(balance AS BIGINT) END AS shown FROM (SELECT *, count(*) OVER (PARTITION BY k, (nth - 1) // {_PER_PAGE}) AS c, {_H_BALANCE} AS balance FROM ({_BASE})) WHERE c >= 3) WHERE whole >= 3)"
+
+
+@query("statement_table_columns", f"SELECT concat('H', k) AS file_sha256, ordinal, d AS posted_date, shop AS description_raw, CAST({_H_SIGN} AS BIGINT) AS amount_minor, shown AS balance_minor FROM {_H_READ}")
+def _(s, d):
+    """Debits, credits and balances of any table."""
+    return layouts.generic(kept(_h_rows(s, d), "statement-rows")).select("file_sha256", "ordinal", "posted_date", "description_raw", "amount_minor", "balance_minor")
+
+
+@query("statement_table_balances", f"""WITH t AS (SELECT k, ordinal, {_H_SIGN} AS a, shown AS b FROM {_H_READ}), c AS (SELECT *, sum(a) OVER (PARTITION BY k ORDER BY ordinal) AS run, count(b) OVER (PARTITION BY k ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM t), p AS (SELECT k, g + 1 AS g, b AS before, run AS upto FROM c WHERE b IS NOT NULL)
+SELECT concat('H', c.k) AS file_sha256, ordinal, CAST(before - (run - upto) AS BIGINT) AS expected_minor, b AS balance_minor FROM c JOIN p ON p.k = c.k AND p.g = c.g WHERE b IS NOT NULL AND b <> before - (run - upto)""")
+def _(s, d):
+    """Rows of any table whose balance does not follow from the one before and what was spent since; the statements have no opening balance."""
+    rows = kept(_h_rows(s, d), "statement-rows")
+    return layouts.balance_breaks(kept(layouts.generic(rows), "statement-rows"), layouts.summaries(rows))
+
+
 _EVERY = " UNION ALL ".join(
     f"SELECT concat('{p}', k) AS file_sha256, {p_sql} AS ordinal, d AS posted_date, {a_sql} AS amount_minor, '{name}' AS parser_id, CAST({score} AS DOUBLE) AS detect_score, CAST(NULL AS VARCHAR) AS error FROM ({_BASE})"
     for p, p_sql, a_sql, name, score in (
