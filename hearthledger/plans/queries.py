@@ -359,4 +359,4 @@ def _(s, d):
     return classify.accuracy(s.read.parquet(f"{d}/labels.parquet").select(F.col("quality").alias("label"), F.col("toxic").alias("predicted")))
 
 
-from hearthledger.plans import changes, forms, lists, statements, tax_pages, taxes, texts  # noqa: E402, F401 - they enter their queries
+from hearthledger.plans import changes, forms, lists, models, statements, tax_pages, taxes, texts  # noqa: E402, F401 - they enter their queries
