@@ -136,9 +136,13 @@ def _(s, d):
     return corrections.merged_subcategory(view(s, d, "transactions"), frame(s, d, _SUBS), 20, 30).select("id", "category_id", "subcategory_id")
 
 
-@query("subcategory_states", "SELECT id, CASE id WHEN 20 THEN 'merged' WHEN 42 THEN 'active' ELSE status END AS status, CASE WHEN id = 20 THEN 30 ELSE merged_into END AS merged_into FROM subcategories", "subcategories")
+# Subcategories that parts make: a key for each, some pending.
+_MADE = "SELECT CAST(p_partkey AS BIGINT) AS id, concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS VARCHAR(9))) AS key, CASE WHEN p_size % 3 = 0 THEN 'pending_approval' ELSE 'active' END AS status, CAST(NULL AS BIGINT) AS merged_into FROM part"
+
+
+@query("subcategory_states", f"SELECT id, CASE WHEN id = 20 THEN 'merged' WHEN id IN (5, 42, 60) THEN 'active' ELSE status END AS status, CASE WHEN id = 20 THEN 30 ELSE merged_into END AS merged_into FROM ({_MADE})")
 def _(s, d):
-    return corrections.approved(corrections.marked_merged(view(s, d, "subcategories"), 20, 30), [42]).select("id", "status", "merged_into")
+    return corrections.approved(corrections.marked_merged(frame(s, d, _MADE), 20, 30), [5, 42, 60]).select("id", "status", "merged_into")
 
 
 _SHOPS = "SELECT CASE o_orderkey % 6 WHEN 0 THEN 'Books' WHEN 1 THEN ' MUSIC' WHEN 2 THEN 'toys' WHEN 3 THEN 'Blue Lamp & Co' WHEN 4 THEN '***' ELSE concat('Shop ', CAST(o_custkey AS VARCHAR(20))) END AS store FROM orders"
@@ -155,10 +159,12 @@ def _(s, d):
     return corrections.new_subcategories(found, 4).select("key", "label", "status")
 
 
-@query("taxonomy_sync", "SELECT coalesce(s.key, w.key) AS key, coalesce(w.status, s.status) AS status, s.id FROM subcategories s FULL JOIN (VALUES ('bar', 'pending_approval'), ('garden', 'active')) AS w(key, status) ON s.key = w.key", "subcategories")
+_WANTED = f"SELECT key, 'active' AS status FROM ({_MADE}) m WHERE id % 2 = 0 UNION ALL SELECT concat('shop_', CAST(s_suppkey AS VARCHAR(9))) AS key, 'pending_approval' AS status FROM supplier"
+
+
+@query("taxonomy_sync", f"SELECT coalesce(s.key, w.key) AS key, coalesce(w.status, s.status) AS status, s.id FROM ({_MADE}) s FULL JOIN ({_WANTED}) w ON s.key = w.key")
 def _(s, d):
-    wanted = s.createDataFrame([("bar", "pending_approval"), ("garden", "active")], "key string, status string")
-    return corrections.synced(view(s, d, "subcategories").select("key", "status", "id"), wanted, ["key"], ["status"])
+    return corrections.synced(frame(s, d, _MADE).select("key", "status", "id"), frame(s, d, _WANTED), ["key"], ["status"])
 
 
 @query("taxonomy_refusals", "SELECT DISTINCT s.key FROM subcategories s JOIN transactions t ON t.subcategory_id = s.id WHERE s.key NOT IN ('bar', 'market')", "subcategories", "transactions")
@@ -169,7 +175,7 @@ def _(s, d):
 
 
 # Statements of two accounts that overlap in part.
-_TWO = """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 3 AS statement_id, l_orderkey % 3 % 2 AS account_id, CAST(9 AS BIGINT) AS user_id, CAST(l_shipdate AS DATE) AS posted_date, CAST(l_quantity AS BIGINT) % 5 * 100 AS amount_minor, concat('LINE ', l_linestatus) AS description_raw FROM lineitem WHERE l_orderkey % 7 < 3"""
+_TWO = """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 3 AS statement_id, l_orderkey % 3 % 2 AS account_id, CAST(9 AS BIGINT) AS user_id, CAST(l_shipdate AS DATE) AS posted_date, CAST(l_quantity AS BIGINT) % 5 * 100 AS amount_minor, concat('LINE ', l_linestatus) AS description_raw FROM lineitem"""
 _HASH = "sha256(concat_ws('|', account_id, posted_date, amount_minor, description_raw, occ))"
 
 

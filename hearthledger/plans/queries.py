@@ -206,11 +206,11 @@ def _(s, d):
     return ledger.hashed(view(s, d, "raw_txns")).select("statement_id", "ordinal", "occurrence_index", "dedupe_hash")
 
 
-@_query("dedupe_new_rows", "SELECT DISTINCT account_id, posted_date, amount_minor, description_raw FROM raw_txns WHERE statement_id % 2 = 1 EXCEPT SELECT account_id, posted_date, amount_minor, description_raw FROM raw_txns WHERE statement_id % 2 = 0", "raw_txns")
+@_query("dedupe_new_rows", "WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY statement_id, account_id, posted_date, amount_minor, description_raw ORDER BY ordinal) - 1 AS INTEGER) AS occurrence_index FROM raw_txns) SELECT DISTINCT account_id, posted_date, amount_minor, description_raw, occurrence_index FROM n i ANTI JOIN (SELECT * FROM n WHERE statement_id % 2 = 0) e USING (account_id, posted_date, amount_minor, description_raw, occurrence_index) WHERE statement_id % 2 = 1", "raw_txns")
 def _(s, d):
     rows = ledger.hashed(view(s, d, "raw_txns"))
     fresh = ledger.new_rows(rows.where("statement_id % 2 = 1"), rows.where("statement_id % 2 = 0"))
-    return fresh.where("occurrence_index = 0").select("account_id", "posted_date", "amount_minor", "description_raw")
+    return fresh.select("account_id", "posted_date", "amount_minor", "description_raw", "occurrence_index")
 
 
 # Rows of few accounts, days and amounts, so that a statement has equal ones.
@@ -241,14 +241,6 @@ def _(s, d):
     return ledger.paired(view(s, d, "settlements"))
 
 
-@_query("redaction", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+\.[\p{L}\p{N}_]+', '[EMAIL]', 'g'), '\$\s?\d[\d,]*(?:\.\d+)?', '[AMOUNT]', 'g'), '\d{12,19}', '[CARD]', 'g'), '\d{6,}', '[NUM]', 'g') AS redacted FROM documents""")
-def _(s, d):
-    out = F.col("text")
-    for token, shape in T.REDACTIONS[:4]:
-        out = F.regexp_replace(out, shape, token)
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", out.alias("redacted"))
-
-
 # The shapes of T.REDACTIONS and T.TRAILING_REFERENCE as RE2 has them.
 _SHAPES = [
     ("[EMAIL]", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}.+\-]+@[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\-]+\.[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"), ("[AMOUNT]", r"\$[\s\x0B]?\d[\d,]*(?:\.\d+)?"), ("[CARD]", r"\d{12,19}"), ("[NUM]", r"\d{6,}"),
@@ -263,6 +255,15 @@ def _replaced(text: str, shapes: list[tuple[str, str]]) -> str:
     return text
 
 
+@_query("redaction", f"SELECT doc_id, {_replaced('text', _SHAPES)} AS redacted FROM documents")
+def _(s, d):
+    """The shapes alone; redaction_full takes references at the end away too."""
+    out = F.col("text")
+    for token, shape in T.REDACTIONS:
+        out = F.regexp_replace(out, shape, token)
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", out.alias("redacted"))
+
+
 def _redacted(text: str) -> str:
     return f"rtrim({_replaced(text, [*_SHAPES, ('', _REFERENCE)])}, ' ')"
 

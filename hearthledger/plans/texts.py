@@ -1,19 +1,28 @@
-"""Queries of scalar functions, over tables of awkward values that both engines read and DuckDB works out by itself."""
+"""Queries of scalar functions, over awkward values made of the tables that both engines read and DuckDB works out by itself."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from hearthledger.functions import dates, names, privacy
+from hearthledger.functions import dates, descriptions, names, privacy
 from hearthledger.functions import text as T
 from hearthledger.operators import balances, classify
 from hearthledger.plans.registry import query
 from hearthledger.sources.fixtures import frame
 
 
-def _values(column: str, values: list[str]) -> str:
-    quoted = ", ".join("('" + v.replace("'", "''") + "')" for v in values)
-    return f"SELECT * FROM (VALUES {quoted}) AS t({column})"
+def _case(of: str, values: list[str]) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _shaped(column: str, shapes: list[str]) -> str:
+    """SQL for both engines: a value for each order, of one of the shapes around numbers and words of the tables ({d}, {t} of two digits, {w} a word)."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    parts = lambda shape: [x[1] if x in ("{d}", "{t}", "{w}") else quoted(x) for x in re.split(r"(\{[dtw]\})", shape) if x]
+    values = [f"concat({', '.join(parts(shape))}, '')" if shape else "''" for shape in shapes]
+    return f"SELECT {_case(f'k % {len(shapes)}', values)} AS {column} FROM (SELECT o_orderkey AS k, CAST(o_orderkey % 900 + 1 AS VARCHAR(9)) AS d, CAST(o_custkey % 90 + 10 AS VARCHAR(9)) AS t, split_part(p_name, ' ', 1) AS w FROM orders JOIN part ON p_partkey = o_orderkey % 40) x"
 
 
 # Amounts as printed, well and badly, around the digits of every line of a bill.
@@ -22,10 +31,6 @@ _DIGITS = ["CAST(l_orderkey AS VARCHAR(20))", "concat(CAST(l_linenumber AS VARCH
            "concat(CAST(l_linenumber AS VARCHAR(9)), '.', CAST(l_partkey % 10 AS VARCHAR(9)))", "concat(CAST(l_orderkey AS VARCHAR(20)), '.005')", "concat('1,2,', CAST(l_linenumber AS VARCHAR(9)))", "concat('12,34,', CAST(l_linenumber AS VARCHAR(9)), '.6')", "concat(',', CAST(l_linenumber AS VARCHAR(9)))", "concat(CAST(l_linenumber AS VARCHAR(9)), ',23')", "concat('.', CAST(l_linenumber AS VARCHAR(9)))", "concat('1234,567.', CAST(l_linenumber AS VARCHAR(9)))"]
 
 
-def _case(of: str, values: list[str]) -> str:
-    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
-
-
 _SHAPED = [" || ".join([f"'{p}'" for p in [s.split("{d}")[0]] if p] + (["d"] if "{d}" in s else []) + [f"'{p}'" for p in s.split("{d}")[1:] if p]) or "d" for s in _SHAPES]
 _PRINTED = f"SELECT l_orderkey, l_linenumber, {_case(f'(l_orderkey + l_partkey * 3) % {len(_SHAPES)}', _SHAPED)} AS printed FROM (SELECT l_orderkey, l_linenumber, l_partkey, {_case(f'l_partkey % {len(_DIGITS)}', _DIGITS)} AS d FROM lineitem) t"
 
@@ -67,60 +72,60 @@ def _(s, d):
     return frame(s, d, _MINORS).select("id", T.money_text(F.col("minor")).alias("shown"), T.money_plain(F.col("minor")).alias("plain"))
 
 
-_INPUTS = ["1,234.56", "$12", "7.5", "1.005", "2.0049", ".5", "3.", "-4", "abc", "", "  $9.999 ", "1.2.3", "$", "12e3"]
+_INPUTS = ["{d},234.56", "${d}", "{d}.5", "{d}.005", "{d}.0049", ".{d}", "{d}.", "-{d}", "abc{d}", "", "  ${d}.999 ", "1.{d}.3", "$", "{d}e3"]
 
 
-@query("balance_input", f"WITH v AS ({_values('raw', _INPUTS)}), b AS (SELECT raw, replace(regexp_replace(trim(raw), '^\\$', ''), ',', '') AS n FROM v) SELECT raw, CASE WHEN regexp_full_match(n, '[0-9]*[.]?[0-9]+|[0-9]+[.]') THEN CAST(floor(CAST(regexp_replace(n, '([.][0-9]{{3}}).*', '\\1') AS DECIMAL(18,3)) * 100 + 0.5) AS BIGINT) END AS minor FROM b")
+@query("balance_input", f"WITH v AS ({_shaped('raw', _INPUTS)}), b AS (SELECT raw, replace(regexp_replace(trim(raw), '^\\$', ''), ',', '') AS n FROM v) SELECT raw, CASE WHEN regexp_full_match(n, '[0-9]*[.]?[0-9]+|[0-9]+[.]') THEN CAST(floor(CAST(regexp_replace(n, '([.][0-9]{{3}}).*', '\\1') AS DECIMAL(18,3)) * 100 + 0.5) AS BIGINT) END AS minor FROM b")
 def _(s, d):
-    return frame(s, d, _values("raw", _INPUTS)).select("raw", balances.input_minor(F.col("raw")).alias("minor"))
+    return frame(s, d, _shaped("raw", _INPUTS)).select("raw", balances.input_minor(F.col("raw")).alias("minor"))
 
 
-_DECIMALS = ["1,234.565", "$-12.5", "(7)", "1e3", "abc", "NaN", "", "  -0.004 ", "999999999999.99", "--1"]
+_DECIMALS = ["{d},234.565", "$-{d}.5", "({d})", "{d}e3", "abc{d}", "NaN", "", "  -{d}.004 ", "999999999{d}.99", "--{d}"]
 
 
-@query("model_amounts", f"WITH v AS ({_values('raw', _DECIMALS)}) SELECT raw, CASE WHEN lower(raw) <> 'nan' THEN CAST(round(TRY_CAST(CAST(TRY_CAST(regexp_replace(trim(raw), '[$, ()]', '', 'g') AS DOUBLE) AS DECIMAL(30,6)) AS DECIMAL(30,6)) * 100) AS BIGINT) END AS minor FROM v")
+@query("model_amounts", f"WITH v AS ({_shaped('raw', _DECIMALS)}) SELECT raw, CASE WHEN lower(raw) <> 'nan' THEN CAST(round(TRY_CAST(CAST(TRY_CAST(regexp_replace(trim(raw), '[$, ()]', '', 'g') AS DOUBLE) AS DECIMAL(30,6)) AS DECIMAL(30,6)) * 100) AS BIGINT) END AS minor FROM v")
 def _(s, d):
-    return frame(s, d, _values("raw", _DECIMALS)).select("raw", T.decimal_minor(F.col("raw")).alias("minor"))
+    return frame(s, d, _shaped("raw", _DECIMALS)).select("raw", T.decimal_minor(F.col("raw")).alias("minor"))
 
 
-_NAMES = ["Blue  Cafe ", "A&B-Store #7", "___", "Zoë's", "online_shopping", "ONE two", "9 lives", ""]
+_NAMES = ["Blue  {w} ", "{w}&B-Store #{d}", "___", "Zoë {w}'s", "online_{w}", "ONE {w}", "{d} lives", ""]
 
 
-@query("names_and_labels", rf"""WITH v AS ({_values('raw', _NAMES)}), s AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '_') AS k, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS q FROM v)
+@query("names_and_labels", rf"""WITH v AS ({_shaped('raw', _NAMES)}), s AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '_') AS k, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS q FROM v)
 SELECT raw, CASE WHEN k = '' THEN 'unknown' ELSE k END AS slug, CASE WHEN q <> '' THEN q END AS account_name, lower(q) AS label,
   array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titled, CASE WHEN raw = '' THEN 'Bank credit' ELSE concat('Bank credit ...', raw) END AS display FROM s""")
 def _(s, d):
     raw = F.col("raw")
-    return frame(s, d, _values("raw", _NAMES)).select(
+    return frame(s, d, _shaped("raw", _NAMES)).select(
         "raw", names.slug(raw).alias("slug"), names.account_name(raw).alias("account_name"), names.label(raw).alias("label"), names.titled(raw).alias("titled"), names.account_display(F.lit("Bank"), F.lit("credit"), raw).alias("display")
     )
 
 
-_BOXES = ["Box 1A", "int : 1", "st", "box LT", "b:st", "17", " 2 a ", "BOX int:8"]
+_BOXES = ["Box {d}A", "int : {d}", "st", "box LT", "b:st", "{d}", " {d} a ", "BOX int:{d}"]
 
 
-@query("form_boxes", f"WITH v AS ({_values('raw', _BOXES)}), c AS (SELECT raw, regexp_replace(replace(raw, ' ', ''), '^(?i)box', '') AS t FROM v), p AS (SELECT raw, t, string_split(t, ':')[-1] AS n FROM c), u AS (SELECT *, CASE WHEN upper(n) IN ('ST', 'LT') THEN upper(n) ELSE lower(n) END AS m FROM p) SELECT raw, CASE WHEN contains(t, ':') THEN concat(upper(string_split(t, ':')[1]), ':', m) ELSE m END AS box FROM u")
+@query("form_boxes", f"WITH v AS ({_shaped('raw', _BOXES)}), c AS (SELECT raw, regexp_replace(replace(raw, ' ', ''), '^(?i)box', '') AS t FROM v), p AS (SELECT raw, t, string_split(t, ':')[-1] AS n FROM c), u AS (SELECT *, CASE WHEN upper(n) IN ('ST', 'LT') THEN upper(n) ELSE lower(n) END AS m FROM p) SELECT raw, CASE WHEN contains(t, ':') THEN concat(upper(string_split(t, ':')[1]), ':', m) ELSE m END AS box FROM u")
 def _(s, d):
-    return frame(s, d, _values("raw", _BOXES)).select("raw", names.box(F.col("raw")).alias("box"))
+    return frame(s, d, _shaped("raw", _BOXES)).select("raw", names.box(F.col("raw")).alias("box"))
 
 
-_FILES = ["a/b/My File (1).pdf", "../../etc/passwd", "", "résumé.pdf", "x/", "ok-name_1.PDF"]
+_FILES = ["a/b/My File ({d}).pdf", "../../{w}/passwd", "", "résumé{d}.pdf", "{w}{d}/", "ok-{w}_{d}.PDF"]
 
 
-@query("file_names", f"WITH v AS ({_values('raw', _FILES)}), b AS (SELECT raw, string_split(rtrim(raw, '/'), '/')[-1] AS n FROM v) SELECT raw, regexp_replace(CASE WHEN n = '' THEN 'statement.pdf' ELSE n END, '[^A-Za-z0-9._ -]', '_', 'g') AS name FROM b")
+@query("file_names", f"WITH v AS ({_shaped('raw', _FILES)}), b AS (SELECT raw, string_split(rtrim(raw, '/'), '/')[-1] AS n FROM v) SELECT raw, regexp_replace(CASE WHEN n = '' THEN 'statement.pdf' ELSE n END, '[^A-Za-z0-9._ -]', '_', 'g') AS name FROM b")
 def _(s, d):
-    return frame(s, d, _values("raw", _FILES)).select("raw", names.file_name(F.col("raw")).alias("name"))
+    return frame(s, d, _shaped("raw", _FILES)).select("raw", names.file_name(F.col("raw")).alias("name"))
 
 
-_TINS = ["912-34-5678", "99-0000001", "***-**-4321", "12", "Acme 12-3456789 Inc", "name 123 45 6789 end", "runs 1234567 and 123456789012", "plain", "CA", "St. 123456 x"]
+_TINS = ["9{t}-34-56{t}", "{t}-00000{t}", "***-**-43{t}", "{t}", "{w} {t}-34567{t} Inc", "name 1{t} 45 67{t} end", "runs 12345{t} and 1234567890{t}", "plain {w}", "CA", "St. 1234{t} x"]
 
 
 @query("taxpayer_numbers", r"""WITH v AS (__V__), m AS (SELECT raw, regexp_replace(raw, '[^0-9]', '', 'g') AS d, regexp_replace(regexp_replace(raw, '(^|[^0-9])[0-9]{3}[- ]?[0-9]{2}[- ]?([0-9]{4})($|[^0-9])', '\1***-**-\2\3', 'g'), '(^|[^0-9])[0-9]{2}-?[0-9]{3}([0-9]{4})($|[^0-9])', '\1**-***\2\3', 'g') AS s FROM v)
 SELECT raw, CASE WHEN len(d) >= 4 THEN right(d, 4) END AS last_four, s AS scrubbed, regexp_matches(raw, '[0-9]{6,}') OR s <> raw AS has_number,
-  CASE WHEN regexp_matches(s, '[A-Za-z]') THEN rtrim(left(s, 32)) END AS jurisdiction FROM m""".replace("__V__", _values("raw", _TINS)))
+  CASE WHEN regexp_matches(s, '[A-Za-z]') THEN rtrim(left(s, 32)) END AS jurisdiction FROM m""".replace("__V__", _shaped("raw", _TINS)))
 def _(s, d):
     raw = F.col("raw")
-    return frame(s, d, _values("raw", _TINS)).select("raw", privacy.last_four(raw).alias("last_four"), privacy.scrubbed(raw).alias("scrubbed"), privacy.has_number(raw).alias("has_number"), privacy.jurisdiction(raw).alias("jurisdiction"))
+    return frame(s, d, _shaped("raw", _TINS)).select("raw", privacy.last_four(raw).alias("last_four"), privacy.scrubbed(raw).alias("scrubbed"), privacy.has_number(raw).alias("has_number"), privacy.jurisdiction(raw).alias("jurisdiction"))
 
 
 @query("forbidden_shapes", rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '\d{{6,}}') THEN 'long_digit_run' WHEN regexp_matches(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}.+-]+@[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}-]+\.[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+') THEN 'email'
@@ -174,3 +179,16 @@ _SURE = "SELECT o_orderkey AS id, (o_orderkey % 21) / 20.0 AS score, CASE WHEN o
 @query("parser_confidence", f"SELECT id, issuer IS NOT NULL AND score >= 0.8 AS sure FROM ({_SURE})")
 def _(s, d):
     return frame(s, d, _SURE).select("id", classify.sure(F.col("score"), F.col("issuer")).alias("sure"))
+
+
+# Raw descriptions with all that the steps take away or replace, around names of parts.
+_RAW = """SELECT o_orderkey AS id, CAST(o_orderkey % 6 AS INT) AS way, p_name AS name, CASE o_orderkey % 6 WHEN 0 THEN concat('POS DEBIT   ', p_name, ' $12.50') WHEN 1 THEN concat('SQ *', p_name, ' REF#', CAST(o_orderkey AS VARCHAR(20))) WHEN 2 THEN concat(p_name, ' Lee, Ann') WHEN 3 THEN concat('amzn mktp us ', p_name)
+  WHEN 4 THEN concat('ＣＡＦＥ ', p_name) ELSE concat(p_name, ' a', CAST(o_orderkey AS VARCHAR(20)), '@b.co 5551234567') END AS raw FROM orders JOIN part ON p_partkey = o_orderkey % 60"""
+
+
+@query("descriptions_normalised", f"""SELECT id, CASE way WHEN 0 THEN name || ' [AMOUNT]' WHEN 1 THEN name WHEN 2 THEN name || ' [NAME]' WHEN 3 THEN 'Amazon ' || name WHEN 4 THEN 'CAFE ' || name ELSE name || ' [EMAIL] [NUM]' END AS clean,
+  CASE way WHEN 3 THEN 'amazon ' || name WHEN 4 THEN 'cafe ' || name ELSE name END AS merchant_key, CAST(way = 0 AS BIGINT) AS n_amounts, CAST(way = 2 AS BIGINT) AS n_names, CAST(way = 5 AS BIGINT) AS n_emails FROM ({_RAW})""")
+def _(s, d):
+    """All steps from a raw description to its key."""
+    out = descriptions.normalised(frame(s, d, _RAW), ["Ann Lee"], "raw")
+    return out.select("id", F.col("description_clean").alias("clean"), "merchant_key", F.col("replaced")["amount"].alias("n_amounts"), F.col("replaced")["name"].alias("n_names"), F.col("replaced")["email"].alias("n_emails"))
