@@ -236,7 +236,20 @@ def _(s, d):
     return ledger.reconciled(statements, view(s, d, "raw_txns")).select("statement_id", "sum_minor", "delta_minor")
 
 
-@_query("transfer_pairing")
+# Days of transfers and of payments are matched in the order of their distance; how many are left of each day goes along from step to step.
+_PAIRED = """WITH RECURSIVE l AS (SELECT DISTINCT id, user_id, amount_minor AS amount, posted_date - DATE '1970-01-01' AS day FROM settlements WHERE kind = 'transfer' AND account_type <> 'credit' AND id IS NOT NULL AND user_id IS NOT NULL AND amount_minor IS NOT NULL AND posted_date IS NOT NULL),
+r AS (SELECT DISTINCT id, user_id, -amount_minor AS amount, posted_date - DATE '1970-01-01' AS day FROM settlements WHERE kind = 'payment' AND account_type = 'credit' AND id IS NOT NULL AND user_id IS NOT NULL AND amount_minor IS NOT NULL AND posted_date IS NOT NULL),
+ln AS (SELECT *, row_number() OVER (PARTITION BY user_id, amount, day ORDER BY id) - 1 AS nth FROM l), rn AS (SELECT *, row_number() OVER (PARTITION BY user_id, amount, day ORDER BY id) - 1 AS nth FROM r),
+lc AS (SELECT user_id, amount, day, count(*) AS n FROM l GROUP BY ALL), rc AS (SELECT user_id, amount, day, count(*) AS n FROM r GROUP BY ALL),
+st AS (SELECT lc.user_id, lc.amount, lc.day AS td, rc.day AS pd, lc.n AS tn, rc.n AS pn, row_number() OVER (PARTITION BY lc.user_id, lc.amount ORDER BY abs(lc.day - rc.day), least(lc.day, rc.day), lc.day > rc.day) AS s FROM lc JOIN rc ON rc.user_id = lc.user_id AND rc.amount = lc.amount AND abs(lc.day - rc.day) <= 5),
+w AS (SELECT DISTINCT user_id, amount, CAST(0 AS BIGINT) AS s, CAST(MAP([], []) AS MAP(BIGINT, BIGINT)) AS ut, CAST(MAP([], []) AS MAP(BIGINT, BIGINT)) AS up, CAST(0 AS BIGINT) AS td, CAST(0 AS BIGINT) AS pd, CAST(0 AS BIGINT) AS t0, CAST(0 AS BIGINT) AS p0, CAST(0 AS BIGINT) AS n FROM st
+  UNION ALL SELECT user_id, amount, s, map_concat(ut, MAP([td], [t0 + n])), map_concat(up, MAP([pd], [p0 + n])), td, pd, t0, p0, n FROM (
+    SELECT w.user_id, w.amount, st.s, ut, up, CAST(st.td AS BIGINT) AS td, CAST(st.pd AS BIGINT) AS pd, coalesce(ut[CAST(st.td AS BIGINT)], 0) AS t0, coalesce(up[CAST(st.pd AS BIGINT)], 0) AS p0, least(tn - coalesce(ut[CAST(st.td AS BIGINT)], 0), pn - coalesce(up[CAST(st.pd AS BIGINT)], 0)) AS n FROM w JOIN st ON st.user_id = w.user_id AND st.amount = w.amount AND st.s = w.s + 1)),
+k AS (SELECT user_id, amount, td, pd, t0 + i AS tr, p0 + i AS pr FROM w, range(0, 100000) g(i) WHERE i < n)
+SELECT ln.id AS transfer_id, rn.id AS payment_id FROM k JOIN ln ON ln.user_id = k.user_id AND ln.amount = k.amount AND ln.day = td AND ln.nth = tr JOIN rn ON rn.user_id = k.user_id AND rn.amount = k.amount AND rn.day = pd AND rn.nth = pr"""
+
+
+@_query("transfer_pairing", _PAIRED, "settlements")
 def _(s, d):
     return ledger.paired(view(s, d, "settlements"))
 

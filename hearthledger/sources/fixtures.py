@@ -137,6 +137,7 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         need(n)
-    if sql.startswith("WITH "):
-        sql = "," + sql[len("WITH") :]
-    return "WITH " + ",\n".join(f"{n} AS ({v})" for n, v in needed.items()) + "\n" + sql
+    start = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    if sql.startswith(start):
+        sql = ", " + sql[len(start) :]
+    return start + ",\n".join(f"{n} AS ({v})" for n, v in needed.items()) + "\n" + sql
