@@ -15,7 +15,8 @@ making them:
   that begins some token, and for each place in it where a token can begin, the
   last token before that place and the tokens since. A token follows another only
   if the pair encodes to itself. Transitions are compiled when first met and kept by
-  the worker; all words of a block advance together, one byte at a time.
+  the worker; all words of a block advance together, one byte at a time. Words of more than `LONG_WORD` bytes
+  are cut into chunks that advance together too: the state maps of the chunks are composed along the word (`Counter.composed`).
 
 Counting is one narrow pass. The special string of the tokenizer is one token wherever it
 occurs, as the library treats it by default. Defined cases: null and empty texts have no tokens;
@@ -40,6 +41,8 @@ from .common import bounded_batches, table
 CHUNK = 256
 #: Characters that are counted together at most, but for a single longer text.
 BLOCK_CHARS = 2_000_000
+#: Bytes beyond which a word is read in chunks, bytes of such a chunk, and bytes before it from which its first state is guessed.
+LONG_WORD, WORD_CHUNK, WARM = 1024, 512, 48
 #: Compiled states of a worker (about 0.5 KB each); beyond it starts anew.
 MAX_STATES = 400_000
 
@@ -236,14 +239,12 @@ class Counter:
         key = (tail, (*((k, before, since - delta) for k, before, since in kept), (0, last, 0)))
         self.put(state * 256 + byte, self.state(key), delta)
 
-    def counts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of tokens of each word data[begin:end]."""
-        if len(self.keys) > MAX_STATES:
-            self.reset()
+    def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last state, change in tokens) of each piece data[begin:end] read from its own first state; all advance together."""
         size = end - begin
         order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        begin, size, state = begin[order], size[order], state[order].astype(np.int64)
+        total = np.zeros(len(order), np.int64)
         longest = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(longest), side="left")
         for j in range(longest):
@@ -256,10 +257,45 @@ class Counter:
                 slot = self.find(keys)
             total[:m] += self.delta[slot]
             state[:m] = self.next[slot]
-        out = np.empty_like(total)
-        out[order] = total
+        last, out = np.empty_like(state), np.empty_like(total)
+        last[order], out[order] = state, total
+        return last, out
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of tokens of each word data[begin:end]."""
+        if len(self.keys) > MAX_STATES:
+            self.reset()
+        long = end - begin > LONG_WORD
+        out = np.zeros(len(begin), np.int64)
+        out[~long] = self.run(data, begin[~long], end[~long], np.zeros((~long).sum(), np.int64))[1]
+        if long.any():
+            out[long] = self.composed(data, begin[long], end[long])
         return out
 
+    def composed(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """counts of long words, chunk by chunk.
+
+        Each chunk has a map from first states to its last state and its tokens. It starts with the state that the `WARM` bytes before
+        the chunk lead to from a fresh start, as machines soon forget where they began. The scan then follows the maps along each word; chunks whose
+        true first state is not in their map are run from it, all at once, until every word is followed to its end.
+        """
+        n = -(-(end - begin) // WORD_CHUNK)
+        word = np.repeat(np.arange(len(begin)), n)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        start = begin[word] + nth * WORD_CHUNK
+        stop = np.minimum(start + WORD_CHUNK, end[word])
+        first = nth == 0
+        state = np.zeros(len(word), np.int64)
+        state[~first] = self.run(data, start[~first] - WARM, start[~first], np.zeros((~first).sum(), np.int64))[0]
+        last, total = self.run(data, start, stop, state)
+        while True:
+            true = np.where(first, 0, np.roll(last, 1))
+            other = np.flatnonzero(true != state)
+            if not len(other):
+                return np.bincount(word, total, len(begin)).astype(np.int64)
+            state[other] = true[other]
+            last[other], total[other] = self.run(data, start[other], stop[other], state[other])
+
 
 class TokenCounter:
     def __init__(self, merges: list, special: list[str]):
