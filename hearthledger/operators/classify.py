@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions.names import label
 from hearthledger.functions.text import is_spend
+from hearthledger.sources.tables import kept
 
 REVIEW_BELOW = 0.7
 #: The parser's own score from which a statement of a known issuer needs no confirming.
@@ -178,9 +179,10 @@ def representatives(txns: DataFrame) -> DataFrame:
 def in_batches(wanted: DataFrame, size: int = BATCH) -> DataFrame:
     """wanted with `batch` and `row` (from 1 in a batch), by merchant key.
 
-    Rows are sorted across partitions and numbered by the counts of the partitions before, so no task sees them all.
+    Rows are sorted across partitions and numbered by the counts of the partitions before, so no task sees them all. What stands where is written before it is counted: numbers stay if a task runs again.
     """
     placed = wanted.repartitionByRange("merchant_key").sortWithinPartitions("merchant_key").withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33))
+    placed = kept(placed, "batches")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     number = F.col("_from") + F.col("_nth")
@@ -195,7 +197,7 @@ def ask(wanted: DataFrame, model: Answer | None = None, size: int = BATCH, retry
 
     model gets the descriptions of a batch and answers with rows {id (from 1), category, subcategory, merchant_canonical, confidence}; a row
     whose id is unknown or answered twice does not count. What is missing is asked for once more, `retry` at a time; what is then still
-    missing, or of a batch that failed, is others / uncategorized and to be reviewed. Without a model everything is.
+    missing, or of a batch that failed, is others / uncategorized and to be reviewed. Without a model everything is. Answers are written, so that reading the result again does not ask again.
     """
 
     def answered(texts: list[str]) -> dict[int, dict]:
@@ -221,6 +223,8 @@ def ask(wanted: DataFrame, model: Answer | None = None, size: int = BATCH, retry
                 yield pd.DataFrame([(keys[at + i], *r) for i, r in enumerate(rows)], columns=["merchant_key", "category", "subcategory", "merchant_canonical", "confidence", "needs_review"])
 
     out = wanted.select("merchant_key", "description").mapInPandas(batches, "merchant_key string, category string, subcategory string, merchant_canonical string, confidence double, needs_review boolean")
+    if model:
+        out = kept(out, "model-answers")
     return out.withColumn("needs_review", F.col("needs_review") | (F.col("confidence") < REVIEW_BELOW))
 
 

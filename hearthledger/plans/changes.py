@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.operators import accounts, classify, corrections, ledger
 from hearthledger.plans.registry import query
+from hearthledger.sources import reference
 from hearthledger.sources.fixtures import frame, view
 
 # Transactions as they come in: some with an issuer's label, in any spelling.
@@ -197,3 +198,26 @@ def _(s, d):
     rows = _two(s, d)
     again = rows.where("statement_id = 1").withColumns({"amount_minor": F.col("amount_minor") + 100, "ordinal": F.col("id")}).drop("dedupe_hash")
     return accounts.reparsed(rows, 1, again).select("id", "statement_id", "dedupe_hash")
+
+
+# Reference tables with faults in them: a pair for each part, a rule for each order.
+_PAIRS = "SELECT concat(CASE WHEN p_size % 7 = 0 THEN 'Bad ' ELSE '' END, split_part(p_name, ' ', 1)) AS category, concat(split_part(p_name, ' ', 2), '_', CAST(p_partkey % 50 AS VARCHAR(9))) AS subcategory, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_name END AS label FROM part UNION ALL SELECT 'others' AS category, 'uncategorized' AS subcategory, 'Other' AS label FROM region WHERE r_regionkey = 0"
+_RULES = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'contains' WHEN 2 THEN 'regex' WHEN 3 THEN 'prefix' ELSE 'fuzzy' END AS match_type, CASE o_orderkey % 8 WHEN 0 THEN ' ' WHEN 1 THEN concat('(a+)+', CAST(o_orderkey AS VARCHAR(20))) WHEN 2 THEN concat('shop(', CAST(o_orderkey AS VARCHAR(20))) WHEN 3 THEN repeat('x', 201) ELSE concat('Shop ', CAST(o_custkey AS VARCHAR(20))) END AS pattern,
+  split_part(p_name, ' ', 1) AS category, concat(split_part(p_name, ' ', 2), '_', CAST(p_partkey % 60 AS VARCHAR(9))) AS subcategory, CAST(o_orderkey % 11 AS INT) - 1 AS priority FROM orders JOIN part ON p_partkey = o_custkey"""
+_SOUND_PAIRS = f"SELECT DISTINCT category, subcategory FROM ({_PAIRS}) WHERE regexp_matches(category, '^[a-z][a-z0-9_]*$') AND trim(label) <> ''"
+
+
+@query("reference_taxonomy", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY category, subcategory) > 1 AS again FROM ({_PAIRS})) SELECT problem, count(*) AS n FROM (SELECT 'the category is no key' AS problem FROM p WHERE NOT regexp_matches(category, '^[a-z][a-z0-9_]*$') UNION ALL SELECT 'the label is empty' FROM p WHERE trim(label) = '' UNION ALL SELECT 'the pair is there twice' FROM p WHERE again) GROUP BY problem""")
+def _(s, d):
+    """What is wrong with a taxonomy."""
+    return reference.taxonomy(frame(s, d, _PAIRS))[1].groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("reference_rules", f"""WITH k AS ({_SOUND_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY match_type, lower(pattern) ORDER BY priority, id) > 1 AS again, EXISTS (FROM k WHERE k.category = t.category AND k.subcategory = t.subcategory) AS known FROM ({_RULES}) t)
+SELECT id, problem FROM (SELECT id, 'the kind of match is unknown' AS problem FROM r WHERE match_type = 'fuzzy' UNION ALL SELECT id, 'the pattern is empty' FROM r WHERE trim(pattern) = '' UNION ALL SELECT id, 'the pattern is too long' FROM r WHERE len(pattern) > 200
+  UNION ALL SELECT id, 'the expression is not sound' FROM r WHERE match_type = 'regex' AND id % 8 IN (1, 2) UNION ALL SELECT id, 'the taxonomy lacks the pair' FROM r WHERE NOT known UNION ALL SELECT id, 'the priority is no number of 0 or more' FROM r WHERE priority < 0 UNION ALL SELECT id, 'another rule has the pattern' FROM r WHERE again)""")
+def _(s, d):
+    """What is wrong with rules, given the sound pairs of a taxonomy."""
+    pairs = frame(s, d, _PAIRS)
+    sound = pairs.where(F.col("category").rlike(reference.KEY) & (F.trim("label") != ""))
+    return reference.rules(frame(s, d, _RULES), sound)[1]
