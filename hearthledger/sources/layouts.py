@@ -216,10 +216,21 @@ def balance_breaks(txns: DataFrame, summary: DataFrame) -> DataFrame:
     return rows.where("balance_minor is not null and expected_minor <> balance_minor").select("file_sha256", "ordinal", "expected_minor", "balance_minor")
 
 
+# Names of the columns of debits and of credits.
+DEBIT, CREDIT = r"(?i)\b(?:debit|withdrawal)s?\b", r"(?i)\b(?:credit|deposit)s?\b"
+
+
+def _sides(names: Column) -> Column:
+    """The places (from 0) of the first column named as debit and the first named as credit, if both are there and stand in this order; else none."""
+    place = lambda own, other: F.array_position(F.transform(names, lambda t: t.rlike(own) & ~t.rlike(other)), True).cast("int") - 1
+    return let(F.array(place(DEBIT, CREDIT), place(CREDIT, DEBIT)), lambda p: F.when((p[0] >= 0) & (p[0] < p[1]), p))
+
+
 def generic(rows: DataFrame) -> DataFrame:
     """Any table of dates, texts and amounts: columns get their role from what more than half of their cells hold.
 
-    One column of amounts is signed; two are debit and credit, and a third is the balance. Fewer than three transactions make a file unsupported.
+    One column of amounts is signed; two are debit and credit, and a third is the balance. Where the names tell debit and then credit, one without
+    any cell on a page counts too, so that what stands beside it keeps its role. Fewer than three transactions make a file unsupported.
     """
     key = [*PAGE, "table"]
     tables = tables_of(rows).withColumn("_head", header_starts(F.col("header")))
@@ -232,17 +243,23 @@ def generic(rows: DataFrame) -> DataFrame:
     every = F.collect_list("_holds").over(Window.partitionBy(*key))  # the rows of a table on one page
     cut = cut.withColumn("_all", every)
 
-    def roles(all_: Column) -> Column:
+    def roles(table: Column) -> Column:
+        all_ = table["all"]
+        held = lambda i: F.filter(F.transform(all_, lambda h: F.get(h, i)), lambda x: x > 0)
+
         def share(i: Column, what: int) -> Column:
-            column = F.filter(F.transform(all_, lambda h: F.get(h, i)), lambda x: x > 0)
-            return F.size(F.filter(column, lambda x: x == what)) > 0.5 * F.size(column)
+            return let(held(i), lambda column: F.size(F.filter(column, lambda x: x == what)) > 0.5 * F.size(column))
 
         places = F.sequence(F.lit(0), F.size(all_[0]) - 1)
         date = F.get(F.filter(places, lambda i: share(i, 1)), F.lit(0))
-        return F.struct(date.alias("date"), F.filter(places, lambda i: share(i, 2)).alias("money"))
+        blank = F.filter(table["sides"], lambda i: F.size(held(i)) == 0)
+        money = let(F.filter(places, lambda i: share(i, 2)), lambda m: F.when(F.get(m, F.lit(0)) >= table["sides"][0], F.array_sort(F.array_union(m, blank))).otherwise(m))
+        return F.struct(date.alias("date"), money.alias("money"))
 
     of_table = F.row_number().over(Window.partitionBy(*key).orderBy("row_number")) == 1
-    cut = cut.withColumn("_r", F.when(of_table & (F.size("_all") > 0), let(F.col("_all"), roles))).drop("_all")
+    sides = F.when(F.col("_head").isNotNull(), let(cells(F.col("header"), F.col("_head")), _sides))
+    table = F.struct(F.col("_all").alias("all"), sides.alias("sides"))
+    cut = cut.withColumn("_r", F.when(of_table & (F.size("_all") > 0), let(table, roles))).drop("_all")
     cut = cut.withColumn("_r", F.max("_r").over(Window.partitionBy(*key))).withColumns({"_date": F.col("_r.date"), "_money": F.col("_r.money")})
     cut = cut.where("_date is not null and size(_money) > 0")
     cut = cut.withColumn("section", F.last(F.when(F.col("kind") == "section", F.trim("text")), True).over(Window.partitionBy(*key).orderBy("row_number")))

@@ -172,6 +172,35 @@ def test_words_to_transactions(spark):
     assert values(out, "posted_date", "amount_minor", "description_raw") == [(date(2026, 1, 5), 450, "COFFEE SHOP DOWNTOWN"), (date(2026, 1, 6), -200, "REFUND")]
 
 
+def test_a_column_without_cells_keeps_its_role(spark):
+    from hearthledger.sources import layouts
+
+    def printed(file, names, *rows):
+        lines = [names, *[{0: f"01/0{i}/2026", 90: "SHOP", **row} for i, row in enumerate(rows, 1)]]
+        return [(file, 1, w, float(x), x + 6.0 * len(w) - 0.5, 12.0 * i, 12.0 * i + 10) for i, line in enumerate(lines) for x, w in line.items()]
+
+    names, shop = {240: "Debit", 340: "Credit", 440: "Balance"}, {0: "Date", 90: "Details"}
+    files = [
+        printed("credits", shop | names, {340: "5.00", 440: "105.00"}, {340: "7.00"}, {340: "1.00", 440: "113.00"}),
+        printed("debits", shop | names, {240: "5.00", 440: "95.00"}, {240: "7.00"}, {240: "1.00", 440: "87.00"}),
+        printed("pair", shop | {240: "Withdrawals", 340: "Deposits"}, {340: "5.00"}, {340: "7.00"}, {340: "1.00"}),
+        # What no pair of names tells stays as it is: one column of amounts is signed.
+        printed("signed", shop | {240: "Credit", 440: "Amount"}, {440: "5.00"}, {440: "-7.00"}, {440: "1.00"}),
+        printed("turned", shop | {240: "Credit", 340: "Debit"}, {340: "5.00"}, {340: "7.00"}, {340: "1.00"}),
+        printed("before", shop | {180: "Amount"} | {240: "Debit", 340: "Credit"}, {180: "5.00"}, {180: "-7.00"}, {180: "1.00"}),
+        # A column that has cells gets its role from them, whatever its name.
+        printed("both", shop | names, {240: "5.00", 440: "95.00"}, {340: "7.00"}, {240: "1.00", 440: "101.00"}),
+    ]
+    df = spark.createDataFrame([w for file in files for w in file], "file_sha256 string, page_number int, text string, x0 double, x1 double, top double, bottom double")
+    got = layouts.generic(words.rows_of(df)).collect()
+    assert all(r["error"] is None and r["description_raw"] == "SHOP" for r in got)
+    read = {f: [(r["amount_minor"], r["balance_minor"]) for r in sorted(got, key=lambda r: r["ordinal"]) if r["file_sha256"] == f] for f in {r["file_sha256"] for r in got}}
+    assert read == {
+        "credits": [(-500, 10500), (-700, None), (-100, 11300)], "debits": [(500, 9500), (700, None), (100, 8700)], "pair": [(-500, None), (-700, None), (-100, None)],
+        "signed": [(500, None), (-700, None), (100, None)], "turned": [(500, None), (700, None), (100, None)], "before": [(500, None), (-700, None), (100, None)], "both": [(500, 9500), (-700, None), (100, 10100)],
+    }
+
+
 def test_page_numbers():
     assert words.page_numbers("3,1-2, 2") == [1, 2, 3]
     for bad in ("0", "3-1", "1-9999999", "x"):
