@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions.text import money_plain
 from hearthledger.plans.registry import query
-from hearthledger.plans.statements import cell, line, printed
+from hearthledger.plans.statements import cell, exploded, line, printed
 from hearthledger.sources import tax_forms, words
 from hearthledger.sources.fixtures import frame
 
@@ -37,7 +37,7 @@ def _forms(s, d) -> DataFrame:
         row(4, 6, cell(0, "Long-term transactions")), row(4, 7, cell(0, "12 SHS"), cell(100, "1/2/2003 3/4/2013 9.00 1.00 8.00")), row(4, 8, cell(0, text("Subtotal long-term box D ", b))), row(4, 9, cell(0, text("Subtotal long-term box D ", g))), row(4, 10, cell(0, "Subtotal long-term box E 4.00")),
     ]
     file = F.concat(F.lit("T"), F.col("supplier").cast("string")).alias("file_sha256")
-    made = base.select(file, F.explode(F.array_compact(F.array(*lines))).alias("l"))
+    made = exploded(base, F.array(*lines), file)
     return tax_forms.segments(tax_forms.cleaned(words.rows_of(printed(made))))
 
 

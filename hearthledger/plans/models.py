@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions.text import money_plain
 from hearthledger.plans.registry import query
-from hearthledger.plans.statements import _BASE, _base
+from hearthledger.plans.statements import _BASE
 from hearthledger.sources import model_reader
+from hearthledger.sources.fixtures import frame
 
 _PER_PAGE, _BUDGET = 20, 1500
 
 
 def _pages(s, d):
     """A page for each 20 rows of a bill; every third says the opening balance. Rows with a bad date or amount are printed too."""
-    base = _base(s, d).withColumn("page_number", F.floor((F.col("nth") - 1) / _PER_PAGE).cast("int") + 1)
+    base = frame(s, d, _BASE).withColumn("page_number", F.floor((F.col("nth") - 1) / _PER_PAGE).cast("int") + 1)
     date = F.when(F.col("n") == 3, "soon").otherwise(F.date_format("d", "yyyy-MM-dd"))
     amount = F.when(F.col("n") == 4, "n/a").otherwise(money_plain(F.col("cents")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws("|", date, "shop", amount).alias("t")))), lambda r: r["t"]), "\n")
