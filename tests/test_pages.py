@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hearthledger.sources import words
+from hearthledger.sources import tax_readers, words
 
 
 def test_words_of_a_page_may_come_in_arrays(spark):
@@ -36,3 +36,8 @@ def test_words_without_a_place_are_rows_of_their_own(spark):
 def test_cells_follow_their_columns(spark):
     df = spark.sql("SELECT array(named_struct('x0', -3D, 'x1', 1D, 'text', 'a'), named_struct('x0', 5D, 'x1', 7D, 'text', 'b'), named_struct('x0', 20D, 'x1', 24D, 'text', 'c'), named_struct('x0', 26D, 'x1', 29D, 'text', 'd')) AS w, array(0D, 5D, 10D, 20D) AS s")
     assert df.select(words.cells(F.col("w"), F.col("s")).alias("c")).first().c == ["a", "b", "", "c d"]
+
+
+def test_texts_that_an_expression_needs():
+    assert tax_readers.sure_texts(r"Add lines 1a|etc\.?\s*Attach Form\(s\) W-2") == ["add lines 1a", "attach form(s) w-2"]
+    assert tax_readers.sure_texts(r"(?:^|\s)(?:25a|a)\s+Form\(s\) W-2") == ["form(s) w-2"] and tax_readers.sure_texts(r"ab{2}cd*") == ["a"]
