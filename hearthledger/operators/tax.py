@@ -247,11 +247,16 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.orderBy(F.desc_nulls_last("tax_year"), F.desc("id"))
 
 
-def nested(docs: DataFrame, forms: DataFrame, income: DataFrame, taxes: DataFrame) -> DataFrame:
-    """Documents with their forms, and those with their items, as arrays; what one statement of a household holds."""
+def with_items(forms: DataFrame, income: DataFrame, taxes: DataFrame) -> DataFrame:
+    """forms with the items of each, as arrays: a form is bounded, it holds what is printed on one."""
     items = lambda rows, name: rows.groupBy("form_id").agg(F.array_sort(F.collect_list(F.struct("category", "amount_minor"))).alias(name))
     full = forms.join(items(income, "income_items"), forms["id"] == F.col("form_id"), "left").drop("form_id")
-    full = full.join(items(taxes, "tax_items"), full["id"] == F.col("form_id"), "left").drop("form_id")
+    return full.join(items(taxes, "tax_items"), full["id"] == F.col("form_id"), "left").drop("form_id")
+
+
+def nested(docs: DataFrame, forms: DataFrame, income: DataFrame, taxes: DataFrame) -> DataFrame:
+    """Documents with their forms, and those with their items, as arrays; what one statement of a household holds. Of documents without such a bound use `with_items`."""
+    full = with_items(forms, income, taxes)
     listed = full.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("id", "form_type", "role", "income_items", "tax_items"))).alias("forms"))
     return docs.join(listed, docs["id"] == listed["document_id"], "left").drop("document_id")
 

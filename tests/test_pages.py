@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from hearthledger.operators import tax
 from hearthledger.sources import tax_readers, words
 
 
@@ -41,3 +42,10 @@ def test_cells_follow_their_columns(spark):
 def test_texts_that_an_expression_needs():
     assert tax_readers.sure_texts(r"Add lines 1a|etc\.?\s*Attach Form\(s\) W-2") == ["add lines 1a", "attach form(s) w-2"]
     assert tax_readers.sure_texts(r"(?:^|\s)(?:25a|a)\s+Form\(s\) W-2") == ["form(s) w-2"] and tax_readers.sure_texts(r"ab{2}cd*") == ["a"]
+
+
+def test_forms_have_their_items_without_their_documents(spark):
+    forms = spark.createDataFrame([(1, 9, "w2", "source"), (2, 9, "w2", "source")], "id long, document_id long, form_type string, role string")
+    items = spark.createDataFrame([(1, "wages", 5), (1, "wages", 3)], "form_id long, category string, amount_minor long")
+    got = {r.id: (len(r.income_items or ()), r.tax_items) for r in tax.with_items(forms, items, items.limit(0)).collect()}
+    assert got == {1: (2, None), 2: (0, None)}
